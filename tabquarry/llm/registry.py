@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing
+from . import chat, mixing, packing, pii, quality
 
-PARTS = (mixing, chat, packing)
+PARTS = (mixing, quality, pii, chat, packing)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
