@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neighbours, packing, pii, quality, topk
+from . import chat, mixing, neighbours, packing, pii, quality, sharding, topk
 
-PARTS = (mixing, quality, topk, neighbours, pii, chat, packing)
+PARTS = (mixing, quality, topk, neighbours, pii, chat, sharding, packing)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
