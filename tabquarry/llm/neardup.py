@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import cut, table
+from .common import WORD, cut, fresh, table
 from .shingles import mix, shingle_set
 from .vectors import apart
 
@@ -221,6 +221,20 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the smallest id; rows without words all stay."""
+    dk = fresh(docs, "__dk")
+    marked = docs.withColumn(dk, F.xxhash64("doc_id", "text"))
+    linked = link(docs).where("component is not null")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
+    # the key of a row from its id and text is not in ``link``, but (id, hash of the text) names the same rows
+    chosen = first.select(F.col("r.doc_id").alias("__i"), F.col("r.th").alias("__t"))
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    named = marked.where(words).withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64("text")})
+    met = named.join(chosen, (named["__t"] == chosen["__t"]) & named["__i"].eqNullSafe(chosen["__i"]), "left_semi").drop("__i", "__t")
+    return met.dropDuplicates([dk]).unionByName(marked.where(~words)).drop(dk)
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
 
