@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = []
+MODULES: list[str] = ["profile"]
 
 
 def collect(kind: str) -> dict:
