@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["profile"]
+MODULES: list[str] = ["profile", "quality"]
 
 
 def collect(kind: str) -> dict:
