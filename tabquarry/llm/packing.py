@@ -15,6 +15,7 @@ Cases: null or empty text is the end id alone; repeated rows are packed each; a
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,11 +30,13 @@ from .common import table
 CAPACITY = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 TOKENIZER = "word_bpe_49k.json"
 SEED = 29
 
 _BLANK = re.compile(r"[ \t\r\n]+")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
+_MARKS = ".,;:!?#$%&*|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,31 +45,77 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable ones as themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokenizer:
     """Ids of whole texts, word by word with a memory of words.
 
-    It holds for tokenizers whose tokens never cross a blank, tab or line end and which drop those, as this one.
-    The memory is emptied when it has grown to ``CACHE_WORDS``.
+    It holds for tokenizers whose tokens never cross white space and which drop it, as this one. A word that is letters
+    of Latin-1, then marks, is looked up as two parts, the letters in lower case, by the byte-pair model alone; all
+    other words go through the whole tokenizer. The memories are emptied when they have grown to ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.letters = {ord(chr(b)): c for b, c in _byte_letters().items()}
+        self.known: dict[str, bytes] = {}
+        self.bodies: dict[str, bytes] = {"": b""}
+
+    def _whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _body(self, body: str) -> bytes:
+        shown = body if body.isascii() else body.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known.clear()
+        if len(self.bodies) > CACHE_WORDS:
+            self.bodies = {"": b""}
+        known, bodies = self.known, self.bodies
+        for w in words:
+            body = w.rstrip(_MARKS)
+            if body.isalpha() and (body.isascii() or max(body) <= "\xff"):
+                low, tail = body.lower(), w[len(body) :]
+                if low not in bodies:
+                    bodies[low] = self._body(low)
+                if tail not in bodies:
+                    bodies[tail] = self._whole(tail)
+                known[w] = bodies[low] + bodies[tail]
+            else:
+                known[w] = self._whole(w)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_BLANK.split(t) for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = list({w for words in split for w in words} - self.known.keys())
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4") for words in split]
+        # str.split() also splits at the separators 1C to 1F, which are no white space to the tokenizer
+        split = [_BLANK.split(t) if _SEPARATOR.search(t) else t.split() for t in texts]
+        words = set().union(*split)
+        if new := words - self.known.keys():
+            self._learn(new)
+            if len(new) < len(words) and not words <= self.known.keys():  # the memory was emptied
+                self._learn(words - self.known.keys())
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, s)), dtype="<u4") for s in split]
+
+
+_HELD: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that its memory outlives a task."""
+    if path not in _HELD:
+        _HELD[path] = WordTokenizer(path)
+    return _HELD[path]
 
 
 class Tournament:
@@ -118,11 +167,11 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
     """doc_id, nth (of the rows of this id in its task), start, length, ids_crc32, doc_tokens[, ids]."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = word_tokenizer(path)
         seen: dict = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 rows: list[tuple] = []
                 held: list = []
