@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["profile", "quality", "impute"]
+MODULES: list[str] = ["profile", "quality", "impute", "relations"]
 
 
 def collect(kind: str) -> dict:
