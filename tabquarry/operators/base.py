@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -100,27 +102,51 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the session's shared folder (in local tests, one of our own)."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tabquarry-")
+    path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], most: int = 256) -> DataFrame:
+    """``df`` with __p, a range of ``keys`` in their order.
+
+    The bounds are literals from a bounded sample (smallest hashes), so that every use of the result, and every retry,
+    sees the same ranges; Spark's own range partitioning draws its bounds anew for each plan.
+    """
+    n = max(1, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = df.select(*keys)
+    seen = rows.orderBy(F.xxhash64(*keys)).limit(40 * n).orderBy(*keys).collect() if n > 1 else []  # 40 rows per range
+    bounds = sorted({seen[i * len(seen) // n] for i in range(1, n)}, key=lambda r: [(x is not None, x) for x in r]) if seen else []
+    kinds = [df.schema[k].dataType for k in keys]
+    at = F.struct(*[F.col(k) for k in keys])
+    over_bounds = [(at >= F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(r, kinds, keys, strict=True)])).cast("int") for r in bounds]
+    return df.withColumn("__p", sum(over_bounds[1:], over_bounds[0]) if over_bounds else F.lit(0))
+
+
 def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """``df`` with running sums along ``order`` inside ``by``, without one task per group.
 
-    Rows are range-partitioned by (by, order); each partition sums its own rows, and the totals of the partitions before
-    it, which are few, are added. The order must be total or ties must be equal in what is summed.
+    Rows fall into ranges of (by, order); each range sums its own rows, and the totals of the ranges before it, which
+    are few, are added. The order must be total, or ties must not matter.
     """
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = [*by, *order]
-    parted = df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id())
     named = {f"__s{i}": e for i, e in enumerate(sums.values())}
-    parted = parted.withColumns(named)
+    parted = bucketed(df, [*by, *order]).withColumns(named)
     totals = parted.groupBy(*by, "__p").agg(*[F.sum(c).alias(c) for c in named])
     before = W.partitionBy(*by).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}o") for c in named])
+    offsets = totals.select(
+        *[F.col(b).alias(f"__b{i}") for i, b in enumerate(by)], F.col("__p").alias("__q"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}o") for c in named]
+    )
     inside = W.partitionBy(*by, "__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     summed = parted.withColumns({c: F.sum(c).over(inside) for c in named})
-    cond = [summed[k].eqNullSafe(offsets[k]) for k in [*by, "__p"]]
+    cond = F.col("__p") == F.col("__q")
+    for i, b in enumerate(by):
+        cond = cond & F.col(b).eqNullSafe(F.col(f"__b{i}"))
     met = summed.join(offsets, cond, "left")
-    out = [summed[c] for c in df.columns] + [(F.col(c) + F.col(f"{c}o")).alias(name) for name, c in zip(sums, named, strict=True)]
-    return met.select(*out)
+    return met.select(*df.columns, *[(F.col(c) + F.col(f"{c}o")).alias(name) for name, c in zip(sums, named, strict=True)])
 
 
 def average_rank(df: DataFrame, col: str, into: str, by: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import FIXTURES, clean, duck, kurt, long_form, numeric_columns, over, running, skew, string_columns
+from .base import FIXTURES, clean, cut, duck, kurt, long_form, numeric_columns, over, running, skew, string_columns
 from .neighbours import nearest_donor, nearest_rows
 from .profile import _TEXT, MISSING
 
@@ -220,7 +220,7 @@ def mice(df: DataFrame, col: str, ev: Evidence, rounds: int = 10, ridge: float =
             work = work.withColumn(f"__{c}", F.when(F.col(c).isNotNull(), F.col(f"__{c}")).otherwise(_line(a, b, xs)))
         if still:
             break
-        work = work.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else work
+        work = cut(work)
     return work.withColumn(col, F.coalesce(col, f"__{col}")).select(*df.columns)
 
 
@@ -257,8 +257,8 @@ def softimpute(df: DataFrame, col: str, ev: Evidence, rounds: int = 20) -> DataF
         proj = vec @ np.diag(keep) @ vec.T
         new = {f"__{c}": F.coalesce(seen[c], sum((F.lit(float(proj[i, j])) * F.col(f"__{cols[i]}") for i in range(p)), F.lit(0.0))) for j, c in enumerate(cols)}
         w = w.withColumns(new)
-        if r % 5 == 4 and df.sparkSession.sparkContext.getCheckpointDir():
-            w = w.checkpoint()
+        if r % 5 == 4:
+            w = cut(w)
     i = cols.index(col)
     return w.withColumn(col, F.coalesce(F.col(col), F.col(f"__{col}") * s[i] + m[i])).select(*df.columns)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .base import bucketed
+
 BLOCK = 8192
 
 
@@ -97,22 +99,20 @@ def links_within(asking: DataFrame, rows: DataFrame, key: str, features: list[st
 def nearest_donor(df: DataFrame, key: str, at: str, value: str, into: str) -> DataFrame:
     """For each row the value of the donor (row with a value) nearest along ``at``; ties to the smaller key.
 
-    Rows are range-partitioned by ``at``; a donor may also lie in a partition before or behind, so each partition's
-    first and last donors are handed on. No window spans the table.
+    Rows fall into ranges of ``at``; a donor may also lie in a range before or behind, so each range's first and last
+    donors are handed on. No window spans the table.
     """
-    spark = df.sparkSession
     donors = df.where(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(at).alias("__at")).agg(F.min(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("__d"))
     donors = donors.select("__at", F.struct(F.col("__at").alias("at"), "__d.k", "__d.v").alias("__donor"))
     rows = df.where(F.col(at).isNotNull()).select(F.col(at).alias("__at"), F.lit(None).cast(donors.schema["__donor"].dataType).alias("__donor")).distinct()
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = donors.unionByName(rows).repartitionByRange(n, "__at").withColumn("__p", F.spark_partition_id())
+    both = bucketed(donors.unionByName(rows), ["__at"])
     inside = W.partitionBy("__p").orderBy("__at")
     near = both.withColumns({
         "__lo": F.last("__donor", ignorenulls=True).over(inside.rangeBetween(W.unboundedPreceding, 0)),
         "__hi": F.first("__donor", ignorenulls=True).over(inside.rangeBetween(0, W.unboundedFollowing)),
     }).where("__donor is null")
     ends = both.groupBy("__p").agg(F.min("__donor").alias("first"), F.max("__donor").alias("last"))
-    order = W.orderBy("__p")  # a row per partition
+    order = W.orderBy("__p")  # a row per range
     handed = ends.select("__p", F.last("last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__before"), F.first("first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("__behind"))
     met = near.join(handed, "__p", "left").withColumns({"__lo": F.coalesce("__lo", "__before"), "__hi": F.coalesce("__hi", "__behind")})
     gap = lambda s: F.abs(F.col(f"{s}.at") - F.col("__at"))
