@@ -121,19 +121,30 @@ def term_spans(text: str, terms) -> list[tuple[int, int]]:
 
 
 def _by_word(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text hash, term) of the texts that hold one of ``terms``; each text counts once."""
+    """(text hash, term) of the texts that hold one of ``terms``.
+
+    With a column ``most`` a task names at most ``most`` + 1 different texts for a term: that is enough to tell that the
+    term is held by more than ``most``.
+    """
+    bounded = "most" in terms.columns
     limit = terms.limit(BROADCAST_TERMS + 1).count()
     texts = docs.select("text", F.xxhash64("text").alias("th")).where(F.length("text") > 0)
     if limit <= BROADCAST_TERMS:
-        held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.select("term").collect()))
+        held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] if bounded else None for r in terms.collect()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, seen = held.value, {}
             for b in batches:
                 hs, ts = [], []
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found = held.value.intersection(map(term_of, set(t.split()))) if held.value else ()
-                    hs += [h] * len(found)
-                    ts += found
+                    for w in known.keys() & set(map(term_of, set(t.split()))) if known else ():
+                        if known[w] is not None:
+                            texts_of = seen.setdefault(w, set())
+                            if h in texts_of or len(texts_of) > known[w]:
+                                continue
+                            texts_of.add(h)
+                        hs.append(h)
+                        ts.append(w)
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ts, pa.string())], ["th", "term"])
 
         return texts.mapInArrow(run, "th long, term string")
@@ -160,7 +171,9 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     pairs = cut(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where((F.col("n_te") >= MIN_SUPPORT)))
     near = pairs.where("term != ''")
     n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
-    n_t = _by_word(docs, near.select("term").distinct()).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # p(e | t) stays below DISCLOSE if more texts than this hold the term
+    most = near.groupBy("term").agg(F.floor(F.max("n_te") / DISCLOSE).alias("most"))
+    n_t = _by_word(docs, most).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = max(1, docs.count())
     share = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
     bits = F.log2(share * n / F.col("n_e"))
