@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["profile", "quality", "impute", "relations", "outliers", "drift"]
+MODULES: list[str] = ["profile", "quality", "impute", "relations", "outliers", "drift", "prep"]
 
 
 def collect(kind: str) -> dict:
