@@ -1 +1 @@
-
+"""Readers, file analysis, versioned snapshots."""
