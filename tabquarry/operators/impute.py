@@ -419,7 +419,7 @@ QUERIES = {
 _M = f"with {duck('fx_missing')}"
 _imp = lambda e, m: f"{_M} select l_returnflag, count(x)::bigint as n, round(sum(x), 2) as total, '{m}' as used from (select l_returnflag, {e} as x from fx_missing) group by 1"
 _line_sql = lambda m: f"{_M}, f as (select regr_slope(y_mar_num, l_quantity) as b, regr_intercept(y_mar_num, l_quantity) as a from fx_missing) select l_returnflag, count(*)::bigint as n, round(sum(coalesce(y_mar_num, a + b * l_quantity)), 2) as total, '{m}' as used from fx_missing, f group by 1"
-_near = f"""with {duck('fx_part')}, p as (select a.p_partkey, b.p_partkey as other, b.price, b.brand, row_number() over (partition by a.p_partkey order by sqrt((a.p_size - b.p_size)**2 + (a.p_retailprice - b.p_retailprice)**2), b.p_partkey) as k
+_near = f"""with {duck('fx_part')}, p as (select a.p_partkey, b.p_partkey as other, b.price, b.brand, row_number() over (partition by a.p_partkey order by round(sqrt((a.p_size - b.p_size)**2 + (a.p_retailprice - b.p_retailprice)**2), 9), b.p_partkey) as k
  from fx_part a join fx_part b on a.p_partkey <> b.p_partkey where """
 _total = lambda e: f"""with t as (select y_mar_num as v, 0 as t from fx_missing where y_mar_num is not null union all select coalesce(y_mar_num, {e}), 1 from fx_missing, f),
  s as (select t, avg(v) as m, stddev_samp(v) as s, skewness(v) as sk, kurtosis(v) as ku from t group by t), g as (select v, count(*) filter (where t = 1) as a, count(*) filter (where t = 0) as b from t group by v),

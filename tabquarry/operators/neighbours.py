@@ -34,10 +34,11 @@ def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Rounded to nine digits, so that equal distances tie however they were summed."""
     d = np.zeros((len(x), len(y)))
     for j in range(x.shape[1]):
         d += (x[:, j, None] - y[None, :, j]) ** 2
-    return np.sqrt(d)
+    return np.round(np.sqrt(d), 9)
 
 
 def nearest_rows(asking: DataFrame, rows: DataFrame, key: str, features: list[str], k: int) -> DataFrame:

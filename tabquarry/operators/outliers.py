@@ -163,7 +163,7 @@ def dbscan_clusters(df: DataFrame, key: str, cols: list[str], eps: float, least:
 FIXTURES["fx_points"] = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part"
 XY = ["p_size", "p_retailprice"]
 _S = "with s as (select p_partkey, (p_size - avg(p_size) over ()) / stddev_pop(p_size) over () as x, (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over () as y from part)"
-_NEAR = _S + ", n as (select a.p_partkey as k, b.p_partkey as o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as d, row_number() over (partition by a.p_partkey order by sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.p_partkey) as r from s a join s b on a.p_partkey <> b.p_partkey)"
+_NEAR = _S + ", n as (select a.p_partkey as k, b.p_partkey as o, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) as d, row_number() over (partition by a.p_partkey order by round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9), b.p_partkey) as r from s a join s b on a.p_partkey <> b.p_partkey)"
 _FL = """with c as (select 'value' as col, value as v from events union all select 'user_id', user_id::double from events), s as (select col, avg(v) as m, stddev_pop(v) as sd, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3, median(v) as md, mad(v) as mad from c group by col),
  f as (select c.col, v, v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1) as iqr, abs((v - m) / sd) > 3 as z, abs(0.6745 * (v - md) / mad) > 3.5 as modz from c join s on c.col = s.col)"""
 QUERIES = {
@@ -185,6 +185,6 @@ ORACLE = {
     "isolation_forest": "select p_partkey, true as valid from part",
     "local_outlier_factor": _NEAR + ", k as (select * from n where r <= 20), kd as (select k, max(d) as kd from k group by k), lr as (select k.k, 1.0 / (avg(greatest(d, kd.kd)) + 1e-10) as lrd from k join kd on kd.k = k.o group by k.k) select k.k as p_partkey, round(avg(b.lrd) / max(a.lrd), 4) as lof from k join lr a on a.k = k.k join lr b on b.k = k.o group by k.k",
     "dbscan_eps": _NEAR + ", kd as (select k, max(d) as d from n where r <= 4 group by k), e as (select *, row_number() over (order by d, k) - 1 as i, count(*) over () as n, min(d) over () as lo, max(d) over () as hi from kd), g as (select d, i, round(abs((hi - lo) / (hi - lo + 1e-10) * i / (n - 1) - (d - lo) / (hi - lo + 1e-10)) / (sqrt(1 + ((hi - lo) / (hi - lo + 1e-10)) ** 2) + 1e-10), 12) as gap from e) select round(greatest(arg_max(d, gap), 1e-5), 5) as eps from (select * from g order by i)",
-    "dbscan_noise": _S + ", p as (select a.p_partkey as a, b.p_partkey as b from s a, s b where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1), c as (select a, count(*) >= 5 as core from p group by a), r as (select p.a, bool_or(c.core) as near from p join c on c.a = p.b group by p.a) select c.a as p_partkey, core, not core and not near as noise from c join r on r.a = c.a",
-    "dbscan_clusters": _S.replace("with s", "with recursive s") + ", p as (select a.p_partkey as a, b.p_partkey as b from s a, s b where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 0.1), c as (select a from p group by a having count(*) >= 5), e as (select a, b from p where a in (from c) and b in (from c)), w as (select a as id, a as c from c union select e.b, w.c from w join e on e.a = w.id) select id as p_partkey, min(c) as cluster from w group by id",
+    "dbscan_noise": _S + ", p as (select a.p_partkey as a, b.p_partkey as b from s a, s b where round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) <= 0.1), c as (select a, count(*) >= 5 as core from p group by a), r as (select p.a, bool_or(c.core) as near from p join c on c.a = p.b group by p.a) select c.a as p_partkey, core, not core and not near as noise from c join r on r.a = c.a",
+    "dbscan_clusters": _S.replace("with s", "with recursive s") + ", p as (select a.p_partkey as a, b.p_partkey as b from s a, s b where round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 9) <= 0.1), c as (select a from p group by a having count(*) >= 5), e as (select a, b from p where a in (from c) and b in (from c)), w as (select a as id, a as c from c union select e.b, w.c from w join e on e.a = w.id) select id as p_partkey, min(c) as cluster from w group by id",
 }
