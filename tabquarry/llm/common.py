@@ -54,3 +54,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     ensure_checkpoints(spark)
     top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder. Unlike a checkpoint it carries no constraints of the old plan,
+    which would pile up in loops."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

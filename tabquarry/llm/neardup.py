@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WORD, cut, fresh, table
+from .common import WORD, discard, fresh, stored, table
 from .shingles import mix, shingle_set
 from .vectors import apart
 
@@ -87,16 +87,19 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id that each end of an edge (a, b) reaches. Hash-min with pointer jumping."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
+    last = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         of = apart(labels).select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         jumped = low.join(of, "comp", "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        moved = cut(jumped)
-        labels = moved.select("id", "comp")
+        moved = stored(jumped)
+        discard(last)
+        last, labels = moved, moved.select("id", "comp")
         if not moved.where("comp <> old").limit(1).count():
+            discard(both)
             return labels
 
 
@@ -177,8 +180,8 @@ def between_components(members: DataFrame, classes: DataFrame, labels: DataFrame
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, n_shingles, component (a class name; null for empty sets), component_id, kept."""
-    rows = cut(measured(docs))
-    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
+    rows = stored(measured(docs))
+    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     def in_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,33 +190,33 @@ def link(docs: DataFrame) -> DataFrame:
 
     placed = classes.select("cid", "sig").mapInArrow(in_trees, "region long, cid long")
     first = placed.groupBy("region").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("region", "a")
-    members = cut(placed.join(first, "region"))
+    members = stored(placed.join(first, "region"))
     stars = members.where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    likely = cut(agreeing(stars, classes))
+    likely = stored(agreeing(stars, classes))
     shared = members.select("region", "cid")
-    sets = cut(full_sets(docs, rows, likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid")))))
-    links = cut(confirmed(likely, sets).withColumn("ok", F.lit(1))).select("a", "b")
+    sets = stored(full_sets(docs, rows, likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid")))))
+    links = stored(confirmed(likely, sets).withColumn("ok", F.lit(1))).select("a", "b")
     labels = components(links)
-    rest = cut(between_components(shared, classes, labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = stored(between_components(shared, classes, labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
     for most in ROUNDS:
         if not rest.limit(1).count():
             break
         comp = lambda x: apart(labels).select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
         now = rest.join(comp("a"), "a", "left").join(comp("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
-        now = cut(now.where("c_a <> c_b"))
+        now = stored(now.where("c_a <> c_b"))
         taken = now
         if most:
             # the likeliest pairs of each two components
             nth = F.row_number().over(W.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.col("est").desc(), "a", "b"))
-            taken = cut(now.withColumn("nth", nth).where(F.col("nth") <= most))
+            taken = stored(now.withColumn("nth", nth).where(F.col("nth") <= most))
         taken = taken.select("a", "b")
         more = taken.select(F.col("a").alias("cid")).unionByName(taken.select(F.col("b").alias("cid"))).distinct()
         lacking = more.join(apart(sets).select("cid"), "cid", "left_anti")
-        sets = cut(sets.unionByName(full_sets(docs, rows, lacking))) if lacking.limit(1).count() else sets
-        new = cut(confirmed(taken, sets))
-        rest = cut(now.select("a", "b", "est").join(taken, ["a", "b"], "left_anti"))
+        sets = stored(sets.unionByName(full_sets(docs, rows, lacking))) if lacking.limit(1).count() else sets
+        new = stored(confirmed(taken, sets))
+        rest = stored(now.select("a", "b", "est").join(taken, ["a", "b"], "left_anti"))
         if new.limit(1).count():
-            links = cut(links.unionByName(new))
+            links = stored(links.unionByName(new))
             labels = components(links)
     named = rows.select("doc_id", "th", "n", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
