@@ -92,7 +92,7 @@ def date_violations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def derived_columns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Columns that equal the sum, difference, product or quotient of two others on all rows. One aggregation."""
+    """Columns that equal the sum, difference, product or quotient of two others on all rows. A few wide aggregations."""
     tests = []
     for t in cols:
         for a, b in permutations([c for c in cols if c != t], 2):
@@ -101,9 +101,14 @@ def derived_columns(df: DataFrame, cols: list[str]) -> DataFrame:
             for op, e in ops.items():
                 near = F.abs(e - z) <= 1e-8 + 1e-6 * F.abs(z)
                 tests.append((t, a, op, b, F.bool_and(F.coalesce(near, z.isNull() | e.isNull())) & (F.count(e + z) > 10)))
-    one = df.agg(*[e.alias(f"t{i}") for i, (*_, e) in enumerate(tests)])
-    cells = [F.struct(F.lit(t).alias("col"), F.lit(f"{a} {op} {b}").alias("formula"), F.col(f"t{i}").alias("ok")) for i, (t, a, op, b, _) in enumerate(tests)]
-    return one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("ok").select("col", "formula")
+    out = None
+    for k in range(0, len(tests), 24):  # few enough for generated code
+        part = tests[k : k + 24]
+        one = df.agg(*[e.alias(f"t{i}") for i, (*_, e) in enumerate(part)])
+        cells = [F.struct(F.lit(t).alias("col"), F.lit(f"{a} {op} {b}").alias("formula"), F.col(f"t{i}").alias("ok")) for i, (t, a, op, b, _) in enumerate(part)]
+        found = one.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("ok").select("col", "formula")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def special_characters(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
