@@ -8,11 +8,12 @@ there. At 0.75 similarity a pair shares them in none of the trees with probabili
    near copies gives a star and not all its pairs. Candidates whose signatures agree in less than ``ESTIMATE`` of the
    values (over five standard deviations below the threshold), or whose sizes rule the threshold out, are dropped; the
    others are confirmed on their full sets. Confirmed links give components.
-2. Regions whose members are still in several components are searched whole: their members outside the first one's
-   component against all, by signature, in blocks that split dense regions by hash. What remains is confirmed
-   best first in rounds; each round drops pairs that have come into one component meanwhile, and the last takes all.
+2. In regions whose members are still in several components, those outside the first one's component look for their
+   likeliest partners, by signature, in blocks that split dense regions by hash; in ``ROUNDS`` rounds the confirmed ones
+   join components. This is where adaptive depth acts: what a region's common prefix leaves open, the rest of the signature orders.
+3. All that is still open, whatever a region's size, is settled exactly by prefix filtering on the rarest shingles.
 
-No bucket, number of partners or number of candidates is capped. Components are found by hash-min with pointer jumping in
+Step 2 keeps a few partners a row, as step 3 finds all the others. Components are found by hash-min with pointer jumping in
 Spark; links, labels and sets stay distributed.
 
 Cases: null and blank texts have an empty set, link with nothing and are their own component; fewer than five words are
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import WORD, discard, fresh, stored, table
 from .shingles import mix, shingle_set
@@ -39,7 +39,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 TREES, DEPTH = 28, 3
 ESTIMATE = 0.5
 BLOCK = 2048
-ROUNDS = (2, 32, None)
+ROUNDS, BEST = 2, 4
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,7 +149,7 @@ def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _cross(x: pa.Table, y: pa.Table) -> pa.Table:
-    """Pairs between components in a block of a region, by signature."""
+    """For each row the few likeliest pairs into other components, in a block of a region, by signature."""
     out: list[tuple[np.ndarray, ...]] = []
     if x.num_rows and y.num_rows:
         read = lambda t: (t.column("cid").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, len(_A)))
@@ -157,7 +157,8 @@ def _cross(x: pa.Table, y: pa.Table) -> pa.Table:
         for i in range(len(xi)):
             ok = np.nonzero((yc != xc[i]) & (DENOMINATOR * np.minimum(xn[i], yn) >= NUMERATOR * np.maximum(xn[i], yn)))[0]
             est = (ys[ok] == xs[i]).mean(axis=1) if len(ok) else np.zeros(0)
-            ok, est = ok[est >= ESTIMATE], est[est >= ESTIMATE]
+            best = np.argsort(-est, kind="stable")[:BEST]
+            ok, est = ok[best][est[best] >= ESTIMATE], est[best][est[best] >= ESTIMATE]
             out.append((np.minimum(xi[i], yi[ok]), np.maximum(xi[i], yi[ok]), est))
     kinds = (("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64()))
     return pa.table({m: pa.array(np.concatenate([o[j] for o in out]) if out else [], k) for j, (m, k) in enumerate(kinds)})
@@ -165,10 +166,7 @@ def _cross(x: pa.Table, y: pa.Table) -> pa.Table:
 
 def between_components(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, est): pairs of step 2. Regions are split into blocks of about BLOCK members by hash, on both sides."""
-    labelled = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    per = labelled.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("cid", "comp")).alias("first"))
-    mixed = per.where("lo <> hi").select("region", "m", F.col("first.comp").alias("main"))
-    left = labelled.join(mixed, "region").join(classes, "cid")
+    left = mixed_members(members, labels).join(classes, "cid")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     place = F.pmod(F.xxhash64("cid", "region"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -178,6 +176,43 @@ def between_components(members: DataFrame, classes: DataFrame, labels: DataFrame
     return minor.select(*cols).groupBy(*keys).cogroup(apart(all_of.select(*cols)).groupBy(*keys)).applyInArrow(_cross, "a long, b long, est double").distinct()
 
 
+def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, cid, comp, m, main) of the regions whose members are in several components."""
+    labelled = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    per = labelled.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("cid", "comp")).alias("first"))
+    mixed = per.where("lo <> hi").select("region", "m", F.col("first.comp").alias("main"))
+    return labelled.join(mixed, "region")
+
+
+def by_rare_shingles(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): every pair of different components that can reach the threshold, by prefix filtering. Exact.
+
+    Of two sets that reach it, the rarest n - ceil(0.75 n) + 1 shingles of each, in one order for all, have one in common.
+    Shingles that one set alone holds come first in that order and match nothing, so only what is left of a prefix
+    beyond them is joined: passages that many texts share are last and hardly ever in a prefix.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c)), pa.array(np.full(len(x), len(x))), pa.array(x)], ["cid", "n", "s"])
+
+    cells = sets.select("cid", "shingles").mapInArrow(spread, "cid long, n long, s long")
+    shared = apart(cells).groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    room = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1 - (F.col("n") - F.size("l"))
+    own = cells.join(shared, "s").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l")).withColumn("room", room.cast("int"))
+    prefix = own.where("room > 0").select("cid", "n", F.explode(F.slice("l", F.lit(1), F.col("room"))).alias("x")).select("cid", "n", "x.s")
+    known = prefix.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    several = known.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo <> hi").select("s", "main")
+    left = stored(known.join(several, "s"))
+    # rows of a shingle's largest component meet only the rows outside it
+    other = apart(left).drop("main").withColumnsRenamed({"cid": "b", "n": "n_b", "comp": "comp_b"})
+    sizes = DENOMINATOR * F.least("n", "n_b") >= NUMERATOR * F.greatest("n", "n_b")
+    met = left.where("comp <> main").join(other, "s").where((F.col("comp") != F.col("comp_b")) & sizes)
+    return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, n_shingles, component (a class name; null for empty sets), component_id, kept."""
     rows = stored(measured(docs))
@@ -197,24 +232,31 @@ def link(docs: DataFrame) -> DataFrame:
     sets = stored(full_sets(docs, rows, likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid")))))
     links = stored(confirmed(likely, sets).withColumn("ok", F.lit(1))).select("a", "b")
     labels = components(links)
-    rest = stored(between_components(shared, classes, labels).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
-    for most in ROUNDS:
-        if not rest.limit(1).count():
+    tried = likely.select("a", "b")
+
+    def sets_of(pairs: DataFrame, have: DataFrame) -> DataFrame:
+        more = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        lacking = more.join(apart(have).select("cid"), "cid", "left_anti")
+        return stored(have.unionByName(full_sets(docs, rows, lacking))) if lacking.limit(1).count() else have
+
+    for _ in range(ROUNDS):
+        found = stored(between_components(shared, classes, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if not found.limit(1).count():
+            break
+        sets = sets_of(found, sets)
+        new = stored(confirmed(found, sets))
+        tried = tried.unionByName(found)
+        if not new.limit(1).count():
             break
-        comp = lambda x: apart(labels).select(F.col("id").alias(x), F.col("comp").alias(f"c_{x}"))
-        now = rest.join(comp("a"), "a", "left").join(comp("b"), "b", "left").withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b")})
-        now = stored(now.where("c_a <> c_b"))
-        taken = now
-        if most:
-            # the likeliest pairs of each two components
-            nth = F.row_number().over(W.partitionBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).orderBy(F.col("est").desc(), "a", "b"))
-            taken = stored(now.withColumn("nth", nth).where(F.col("nth") <= most))
-        taken = taken.select("a", "b")
-        more = taken.select(F.col("a").alias("cid")).unionByName(taken.select(F.col("b").alias("cid"))).distinct()
-        lacking = more.join(apart(sets).select("cid"), "cid", "left_anti")
-        sets = stored(sets.unionByName(full_sets(docs, rows, lacking))) if lacking.limit(1).count() else sets
-        new = stored(confirmed(taken, sets))
-        rest = stored(now.select("a", "b", "est").join(taken, ["a", "b"], "left_anti"))
+        links = stored(links.unionByName(new))
+        labels = components(links)
+    open_ones = stored(mixed_members(shared, labels).select("cid").distinct())
+    if open_ones.limit(1).count():
+        lacking = open_ones.join(apart(sets).select("cid"), "cid", "left_anti")
+        have = sets.join(open_ones, "cid", "left_semi").unionByName(full_sets(docs, rows, lacking))
+        have = stored(have)
+        found = stored(agreeing(by_rare_shingles(have, labels).join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"))
+        new = stored(confirmed(found, have))
         if new.limit(1).count():
             links = stored(links.unionByName(new))
             labels = components(links)

@@ -200,6 +200,11 @@ def test_neardup(spark):
     full = [r["doc_id"] for r in kept.collect() if WORD.search(r["text"] or "")]
     assert sorted(full) == sorted(7 * i + 1 for i in range(len(texts)) if comp[i] == i and sets[i])
     assert neardup.link(docs.limit(0)).count() == 0
+    # the exact step alone finds every link between different sets
+    held = spark.createDataFrame([(i, neardup.shingle_set(t).tobytes()) for i, t in enumerate(texts) if sets[i]], "cid long, shingles binary").dropDuplicates(["shingles"])
+    ids = {r["cid"] for r in held.collect()}
+    found = {tuple(r) for r in neardup.by_rare_shingles(held, spark.createDataFrame([], "id long, comp long")).collect()}
+    assert {(i, j) for i, j in itertools.combinations(sorted(ids), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} <= found
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------------
