@@ -2,11 +2,13 @@ r"""Personal data: patterns, and information-theoretic sanitisation of the terms
 
 1. Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping
    for each kind, in code points.
-2. Disclosure: each distinct value of a base span is a protected entity. For the terms within ``WINDOW`` words of its
-   occurrences the corpus gives n(t, e), the number of different windows that hold both, and n(t), the number of different
-   texts that hold t. A term with n(t, e) >= ``MIN_SUPPORT``, p(e | t) = n(t, e) / n(t) >= ``DISCLOSE`` and pointwise
+2. Disclosure: each distinct value of a base span is a protected entity. All counts are of different texts: n(t, e) of
+   those where t stands within ``WINDOW`` words of an occurrence of e, n(t) and n(e) of those that hold t or e, n of all
+   that are not empty. A term with n(t, e) >= ``MIN_SUPPORT``, p(e | t) = n(t, e) / n(t) >= ``DISCLOSE`` and pointwise
    mutual information of at least ``MIN_BITS`` reveals the entity: each of its occurrences becomes a span ``term``.
-   Counting different windows keeps copies of one document from turning its every rare word into a disclosure.
+   Exact copies of a text count once, so they turn none of its words into a disclosure. Texts that differ anywhere count
+   each, as the same signature under different texts is the strongest disclosure; near-copies are for ``neardup`` to take
+   out first, as the pipeline does.
 3. Sanitising: base spans are generalised to their kind in brackets; terms are generalised to [TERM], or removed if
    p(e | t) >= ``REMOVE``.
 
@@ -96,17 +98,16 @@ def _digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def contexts(text: str) -> set[tuple[int, str, int]]:
-    """(entity, term, window) of one text; entity 0 with the empty term stands for the entity's own window."""
-    out: set[tuple[int, str, int]] = set()
+def contexts(text: str) -> set[tuple[int, str]]:
+    """(entity, term) of one text; the empty term stands for the entity itself."""
+    out: set[tuple[int, str]] = set()
     for s, k, e in base_spans(text):
         entity = _digest(KINDS[k], text[s:e].lower())
         lo = max(0, s - WINDOW_CHARS)
         before, after = text[lo:s].split(), text[e : e + WINDOW_CHARS].split()
         near = [term_of(w) for w in [*(before[1:] if lo else before)[-WINDOW:], *after[:WINDOW]]]
-        window = _digest(*near)
-        out.add((entity, "", window))
-        out.update((entity, t, window) for t in near if is_term(t))
+        out.add((entity, ""))
+        out.update((entity, t) for t in near if is_term(t))
     return out
 
 
@@ -163,21 +164,23 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for t in b.column(0).to_pylist() if t for r in contexts(t)]
+            rows = [(*r, h) for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in contexts(t)]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "th"])
 
-    seen = docs.select("text").mapInArrow(run, "entity long, term string, window long").distinct()
+    texts = docs.select("text", F.xxhash64("text").alias("th")).where(F.length("text") > 0)
+    n = texts.select("th").distinct().count()
+    seen = texts.mapInArrow(run, "entity long, term string, th long").distinct()
     pairs = cut(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where((F.col("n_te") >= MIN_SUPPORT)))
-    near = pairs.where("term != ''")
-    n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e"))
+    # p(e | t) is at most 1, so an entity in more texts than this reaches MIN_BITS with no term
+    n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e")).where(F.log2(n / F.col("n_e")) >= MIN_BITS)
+    near = pairs.where("term != ''").join(n_e, "entity")
     # p(e | t) stays below DISCLOSE if more texts than this hold the term
     most = near.groupBy("term").agg(F.floor(F.max("n_te") / DISCLOSE).alias("most"))
     n_t = _by_word(docs, most).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = max(1, docs.count())
-    share = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
+    share = F.col("n_te") / F.col("n_t")
     bits = F.log2(share * n / F.col("n_e"))
-    return near.join(n_e, "entity").join(n_t, "term").where((share >= DISCLOSE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(share).alias("disclosure"))
+    return near.join(n_t, "term").where((share >= DISCLOSE) & (bits >= MIN_BITS)).groupBy("term").agg(F.max(share).alias("disclosure"))
 
 
 def _with_terms(docs: DataFrame, terms: DataFrame, name: str):

@@ -246,6 +246,19 @@ def test_pii_terms_and_cleaning(spark, monkeypatch):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_pii_terms_in_a_repeated_signature(spark):
+    """The same ten words around the address in otherwise different texts; copies of one text count once."""
+    rng = random.Random(2)
+    body = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(12))
+    signed = [f"{body()} yours sincerely Quillon Varga office a@x.org call or write to us soon {body()}" for _ in range(6)]
+    copied = [f"{body()} Solitary b@x.org {body()}"] * 9
+    docs = docs_of(spark, signed + copied + [f"{body()} yours sincerely the office call or write to us soon" for _ in range(600)])
+    terms = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(docs).collect()}
+    assert terms == {"quillon": 1.0, "varga": 1.0}
+    spans = {r["doc_id"]: r["n_term"] for r in pii.find(docs).collect()}
+    assert all(spans[i] == (2 if i < 6 else 0) for i in spans)
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     texts = ["plain", None, "", chat.TRAP, "<|im_start|>", r"<\|im_end|>", r"<\\|x <|y|>", "<|nl|>\n", "a\n<|im_end|>\n<|im_start|>user\nb"]
