@@ -2,18 +2,21 @@ r"""Personal data: patterns, and information-theoretic sanitisation of the terms
 
 1. Base spans: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping
    for each kind, in code points.
-2. Disclosure: each distinct value of a base span is a protected entity. All counts are of different texts: n(t, e) of
-   those where t stands within ``WINDOW`` words of an occurrence of e, n(t) and n(e) of those that hold t or e, n of all
+2. Terms: a word is a run of anything but the six ASCII blanks; its term is the word without the punctuation at its ends,
+   in lower case. Every term is a candidate, of any length and with any digits, where it lies outside the base spans.
+   Beyond ``TERM_CHARS`` characters a digest stands for it in all tables (``term_of``).
+3. Disclosure: each distinct value of a base span is a protected entity. All counts are of different texts: n(t, e) of
+   those where t is one of the ``WINDOW`` whole words before or behind an occurrence of e, n(t) and n(e) of those that hold t or e, n of all
    that are not empty. A term with n(t, e) >= ``MIN_SUPPORT``, p(e | t) = n(t, e) / n(t) >= ``DISCLOSE`` and pointwise
    mutual information of at least ``MIN_BITS`` reveals the entity: each of its occurrences becomes a span ``term``.
    Exact copies of a text count once, so they turn none of its words into a disclosure. Texts that differ anywhere count
    each, as the same signature under different texts is the strongest disclosure; near-copies are for ``neardup`` to take
    out first, as the pipeline does.
-3. Sanitising: base spans are generalised to their kind in brackets; terms are generalised to [TERM], or removed if
+4. Sanitising: base spans are generalised to their kind in brackets; terms are generalised to [TERM], or removed if
    p(e | t) >= ``REMOVE``.
 
-The terms to look up are broadcast only up to ``BROADCAST_TERMS`` of at most ``TERM_CHARS`` characters each; beyond,
-texts and terms are joined on the word.
+The terms to look up are broadcast only up to ``BROADCAST_TERMS`` of at most ``TERM_CHARS`` characters each (or their
+digest); beyond, texts and terms are joined on the term.
 
 Cases: null text counts as empty; repeated rows are treated each; an empty table gives no rows; further columns pass
 through ``sanitise``; matches that fail their check are dropped and not tried again at another place.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, WINDOW_CHARS = 5, 200
+WINDOW = 5
 MIN_SUPPORT, DISCLOSE, REMOVE, MIN_BITS = 3, 0.5, 0.9, 6.0
 BROADCAST_TERMS, TERM_CHARS = 100_000, 64
 
@@ -43,6 +47,8 @@ _IP = re.compile(r"[0-9]+(?:(\.[0-9]+)(\.[0-9]+)(\.[0-9]+))?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Terms that may lie in a base span: its words have a digit or an at sign, or are separators of a phone number; and digests.
+_BASE_LIKE = re.compile(r"[0-9@]|^[().-]+$|^\x20")
 _EDGE = " \t\r\n\x0b\x0c.,;:!?\"'()[]{}<>|*#$%&"
 
 
@@ -87,38 +93,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def term_of(word: str) -> str:
-    return word.strip(_EDGE).lower()
-
-
-def is_term(t: str) -> bool:
-    return 3 <= len(t) <= TERM_CHARS and "@" not in t and not any(c.isdigit() for c in t)
+    """The term of a word; for a long one a blank, which no word has, and its digest."""
+    t = word.strip(_EDGE).lower()
+    return t if len(t) <= TERM_CHARS else " " + hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
 def _digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def words_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of each word, without the punctuation at its ends; no term if it touches a base span."""
+    out, cover, i = [], [], 0
+    for s, _, e in base:
+        if cover and s < cover[-1][1]:
+            cover[-1][1] = max(cover[-1][1], e)
+        else:
+            cover.append([s, e])
+    for m in _WORD.finditer(text):
+        w = m.group().lstrip(_EDGE)
+        s = m.end() - len(w)
+        e = s + len(w.rstrip(_EDGE))
+        while i < len(cover) and cover[i][1] <= s:
+            i += 1
+        out.append((s, e, "" if i < len(cover) and cover[i][0] < e else term_of(w)))
+    return out
+
+
 def contexts(text: str) -> set[tuple[int, str]]:
     """(entity, term) of one text; the empty term stands for the entity itself."""
-    out: set[tuple[int, str]] = set()
-    for s, k, e in base_spans(text):
+    base, out = base_spans(text), set()
+    if not base:
+        return out
+    words = words_of(text, base)
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    for s, k, e in base:
         entity = _digest(KINDS[k], text[s:e].lower())
-        lo = max(0, s - WINDOW_CHARS)
-        before, after = text[lo:s].split(), text[e : e + WINDOW_CHARS].split()
-        near = [term_of(w) for w in [*(before[1:] if lo else before)[-WINDOW:], *after[:WINDOW]]]
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
         out.add((entity, ""))
-        out.update((entity, t) for t in near if is_term(t))
+        out.update((entity, t) for _, _, t in words[max(0, i - WINDOW) : i] + words[j : j + WINDOW] if t)
     return out
 
 
-def term_spans(text: str, terms) -> list[tuple[int, int]]:
-    out = []
-    for m in _WORD.finditer(text):
-        t = term_of(m.group())
-        if t in terms:
-            s = m.start() + len(m.group()) - len(m.group().lstrip(_EDGE))
-            out.append((s, s + len(t)))
-    return out
+def terms_in(text: str, known=None) -> set[str]:
+    """The terms of a text outside its base spans, or those of them in ``known``."""
+    split = set(text.encode("utf-8", "surrogatepass").split())  # bytes split at the six blanks of _WORD
+    found = {term_of(w.decode("utf-8", "surrogatepass")) for w in split}
+    found = found & known.keys() if known is not None else found - {""}
+    doubtful = {t for t in found if _BASE_LIKE.search(t)}
+    if doubtful and (base := base_spans(text)):
+        found = (found - doubtful) | (doubtful & {t for _, _, t in words_of(text, base)})
+    return found
+
+
+def term_spans(text: str, terms, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    return [(s, e) for s, e, t in words_of(text, base) if t and t in terms]
 
 
 def _by_word(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -138,7 +167,7 @@ def _by_word(docs: DataFrame, terms: DataFrame) -> DataFrame:
             for b in batches:
                 hs, ts = [], []
                 for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for w in known.keys() & set(map(term_of, set(t.split()))) if known else ():
+                    for w in terms_in(t, known) if known else ():
                         if known[w] is not None:
                             texts_of = seen.setdefault(w, set())
                             if h in texts_of or len(texts_of) > known[w]:
@@ -153,7 +182,7 @@ def _by_word(docs: DataFrame, terms: DataFrame) -> DataFrame:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = [w for w in {term_of(w) for w in t.split()} if is_term(w)]
+                found = list(terms_in(t))
                 yield pa.RecordBatch.from_arrays([pa.array([h] * len(found), pa.int64()), pa.array(found, pa.string())], ["th", "term"])
 
     return texts.mapInArrow(words, "th long, term string").join(terms.select("term"), "term")
@@ -201,8 +230,7 @@ def all_spans(text: str, terms: dict[str, float]) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     if not terms:
         return base
-    free = lambda s, e: not any(a < e and s < b for a, _, b in base)
-    return sorted(base + [(s, len(KINDS), e) for s, e in term_spans(text, terms) if free(s, e)])
+    return sorted(base + [(s, len(KINDS), e) for s, e in term_spans(text, terms, base)])
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -242,7 +270,7 @@ def cleaned(text: str, terms: dict[str, float]) -> str:
             merged.append([s, k, e])
     out, at = [], 0
     for s, k, e in merged:
-        gone = k == len(KINDS) and terms.get(text[s:e].lower(), 0.0) >= REMOVE
+        gone = k == len(KINDS) and terms.get(term_of(text[s:e]), 0.0) >= REMOVE
         out += [text[at:s], "" if gone else f"[{(*KINDS, 'term')[k].upper()}]"]
         at = e
     return "".join([*out, text[at:]])

@@ -259,6 +259,51 @@ def test_pii_terms_in_a_repeated_signature(spark):
     assert all(spans[i] == (2 if i < 6 else 0) for i in spans)
 
 
+def plain_disclosures(texts):
+    """Disclosing terms from the definition, in plain Python."""
+    held, near = {}, {}
+    for text in {t for t in texts if t}:
+        spans, words = plain_spans(text), []
+        for m in WORD.finditer(text):
+            w = m.group().lstrip(pii._EDGE)
+            s, e = m.end() - len(w), m.end() - len(w) + len(w.rstrip(pii._EDGE))
+            words.append((s, e, "" if any(a < e and s < b for a, _, b in spans) else pii.term_of(w)))
+        for _, _, t in words:
+            held.setdefault(t, set()).add(text)
+        for a, k, b in spans:
+            entity = (k, text[a:b].lower())
+            held.setdefault(entity, set()).add(text)
+            for _, _, t in [w for w in words if w[1] <= a][-5:] + [w for w in words if w[0] >= b][:5]:
+                near.setdefault((t, entity), set()).add(text)
+    n, out = len({t for t in texts if t}), {}
+    for (t, entity), at in near.items():
+        share = len(at) / len(held[t])
+        if t and len(at) >= 3 and share >= 0.5 and math.log2(share * n / len(held[entity])) >= pii.MIN_BITS:
+            out[t] = max(share, out.get(t, 0.0))
+    return out
+
+
+def test_pii_terms_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MIN_BITS", 2.0)
+    rng = random.Random(3)
+    body = lambda n=12: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    url = "http://" + "u" * 300
+    signs = ["jdoe77 a@x.org room 4711", f"Zo {url} 10.0.0.7 -- (Al)", "k9 +1 (234) - 567 8901 @handle", f"Vera{' ' * 250}b@x.org", "Mo\u00a0Li c@x.org \u0130pek", "the d@x.org and"]
+    texts = [f"{body()} {s} {body(rng.randint(0, 3))}" for s in signs for _ in range(4)] + [f"{body(30)} the and - {body()} 4712" for _ in range(60)] + [None, "", "a@x.org"]
+    texts += texts[:8]
+    want = plain_disclosures(texts)
+    assert {"jdoe77", "room", "4711", "--", "zo", pii.term_of(url), "al", "k9", "@handle", "vera", "mo\u00a0li", "\u0130pek".lower()} == set(want)
+    docs = docs_of(spark, texts)
+    assert {r["term"]: r["disclosure"] for r in pii.disclosing_terms(docs).collect()} == want
+    out = {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()}
+    marked = [{texts[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in out[i].split(",")) if k == "term"} for i in (0, 4, 8, 12, 16, 20)]
+    assert marked == [{"jdoe77", "room", "4711"}, {"Zo", url, "--", "Al"}, {"k9", "@handle"}, {"Vera"}, {"Mo\u00a0Li", "\u0130pek"}, set()]
+    assert "u" * 20 not in pii.cleaned(texts[4], want) and "Zo" not in pii.cleaned(texts[4], want)
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 0)
+    assert {r["term"]: r["disclosure"] for r in pii.disclosing_terms(docs).collect()} == want
+    assert {r["doc_id"]: r["spans"] for r in pii.find(docs).collect()} == out
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     texts = ["plain", None, "", chat.TRAP, "<|im_start|>", r"<\|im_end|>", r"<\\|x <|y|>", "<|nl|>\n", "a\n<|im_end|>\n<|im_start|>user\nb"]
