@@ -18,7 +18,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import FIXTURES, average_rank, clean, duck, over
+from .base import FIXTURES, average_rank, clean, duck, numeric_columns, over
 from .relations import pearson
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "nunique": F.count_distinct}
@@ -249,8 +249,8 @@ def correlation_filter(df: DataFrame, cols: list[str], limit: float = 0.95) -> l
     return gone
 
 
-def mutual_information(df: DataFrame, cols: list[str], target: str, bins: int = 20) -> DataFrame:
-    """Binned mutual information in nats; scales where the nearest-neighbour estimator does not."""
+def equal_width_information(df: DataFrame, cols: list[str], target: str, bins: int = 20) -> DataFrame:
+    """Mutual information in nats of equal-width bins and the target's values, as plain SQL has it; not used for selection."""
     cells = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select("t", "x.*").where("v is not null")
     ends = cells.groupBy("col").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
     at = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins), F.lit(bins - 1))
@@ -260,6 +260,51 @@ def mutual_information(df: DataFrame, cols: list[str], target: str, bins: int =
     return met.groupBy("col").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ct") * F.col("cb")))).alias("mi"))
 
 
+def pseudo_targets(cols: list[str]) -> list[str]:
+    return np.random.RandomState(42).choice(cols, size=min(5, len(cols)), replace=False).tolist() if cols else []
+
+
+def _quantile_bins(df: DataFrame, cols: list[str], bins: int) -> dict:
+    """A bin per column: its values if they are few, else ranges between its quantiles; a value that fills a range is its own bin."""
+    if not cols:
+        return {}
+    one = _one(df, *[F.approx_count_distinct(c) for c in cols], *[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])) for c in cols])
+    few = [c for i, c in enumerate(cols) if one[i] <= bins]
+    own = dict(zip(few, _one(df, *[F.collect_set(F.col(c).cast("double")) for c in few]), strict=True)) if few else {}  # about ``bins`` values each
+    out = {}
+    for i, c in enumerate(cols):
+        v, edges = F.col(c).cast("double"), own.get(c, one[len(cols) + i]) or []
+        steps = [v >= e for e in set(edges)] + [v > e for e in set(edges) if edges.count(e) > 1]
+        out[c] = F.when(v.isNotNull(), sum((x.cast("int") for x in steps), F.lit(0)))
+    return out
+
+
+def mutual_information(df: DataFrame, cols: list[str], target: str | None = None, bins: int = 20) -> DataFrame:
+    """(col, mi): mutual information in nats with the target, or the largest with any of five pseudo-targets without one.
+
+    In place of the nearest-neighbour estimator both sides fall into quantile bins (fewer for few rows; the values of a text
+    are classes) and the estimate is corrected for the number of filled cells (Miller and Madow).
+    """
+    targets = [target] if target else pseudo_targets(cols)
+    cols, every = [c for c in cols if c != target], list(dict.fromkeys([*cols, *targets]))
+    numbers = [c for c in every if c in numeric_columns(df)]
+    rows = clean(df, numbers)
+    n_bins = max(2, min(bins, math.isqrt(rows.count() // 25)))
+    code = _quantile_bins(rows, numbers, n_bins)
+    at = {c: code[c].cast("string") if c in code else F.col(c).cast("string") for c in every}
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.lit(t).alias("target"), at[c].alias("b"), at[t].alias("t")) for t in targets for c in cols if c != t])
+    key = ["col", "target"]
+    joint = rows.select(F.explode(pairs).alias("x")).select("x.*").dropna().groupBy(*key, "b", "t").agg(F.count(F.lit(1)).alias("c"))
+    pt, pb = joint.groupBy(*key, "t").agg(F.sum("c").alias("ct")), joint.groupBy(*key, "b").agg(F.sum("c").alias("cb"))
+    n = pb.groupBy(*key).agg(F.sum("cb").alias("n"), F.count(F.lit(1)).alias("kb")).join(pt.groupBy(*key).agg(F.count(F.lit(1)).alias("kt")), key)
+    met = joint.join(pt, [*key, "t"]).join(pb, [*key, "b"]).join(F.broadcast(n), key)  # a row per pair of column and target
+    raw = F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / (F.col("ct") * F.col("cb"))))
+    excess = (F.count(F.lit(1)) - F.first("kb") - F.first("kt") + 1) / (2 * F.first("n"))
+    mi = met.groupBy(*key).agg(F.greatest(F.lit(0.0), raw - excess).alias("mi"))
+    sides = mi.select("col", "mi") if target else mi.select("col", "mi").unionByName(mi.select(F.col("target").alias("col"), "mi"))
+    return sides.groupBy("col").agg(F.max("mi").alias("mi"))
+
+
 def tree_importance(df: DataFrame, cols: list[str], target: str, classes: bool, seed: int = 42) -> list[tuple[str, float]]:
     vec = VectorAssembler(inputCols=cols, outputCol="__x", handleInvalid="skip").transform(df.withColumn("__y", F.col(target).cast("double")).where("__y is not null"))
     kind = RandomForestClassifier if classes else RandomForestRegressor
@@ -267,11 +312,26 @@ def tree_importance(df: DataFrame, cols: list[str], target: str, classes: bool,
     return list(zip(cols, model.featureImportances.toArray().tolist(), strict=True))
 
 
-def select_features(df: DataFrame, cols: list[str], target: str, votes: int = 2) -> DataFrame:
+def _importance(df: DataFrame, cols: list[str], target: str | None) -> list[tuple[str, float]]:
+    """Of the target, by classes if it has few values; without one the mean over pseudo-targets, each with its own mean."""
+    if target:
+        seen = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("c"))
+        kinds, n = _one(seen, F.count(F.lit(1)), F.sum("c"))
+        return tree_importance(df, cols, target, kinds <= 20 and kinds < 0.05 * (n or 0))
+    total, targets = dict.fromkeys(cols, 0.0), pseudo_targets(cols)
+    for t in targets if len(cols) > 1 else []:
+        found = tree_importance(df, [c for c in cols if c != t], t, False)
+        for c, v in [*found, (t, sum(v for _, v in found) / len(found))]:
+            total[c] += v / len(targets)
+    return list(total.items())
+
+
+def select_features(df: DataFrame, cols: list[str], target: str | None = None, votes: int = 2) -> DataFrame:
     """Columns that at least two of variance, correlation, information and importance would drop."""
-    flagged = [(c, "variance") for c in variance_filter(df, cols)] + [(c, "correlation") for c in correlation_filter(df, [c for c in cols if c not in variance_filter(df, cols)])]
+    flat = variance_filter(df, cols)
+    flagged = [(c, "variance") for c in flat] + [(c, "correlation") for c in correlation_filter(df, [c for c in cols if c not in flat])]
     flagged += [(r["col"], "information") for r in mutual_information(df, cols, target).where("mi < 0.01").collect()]  # a row per column
-    flagged += [(c, "importance") for c, v in tree_importance(df, cols, target, True) if v < 0.01]
+    flagged += [(c, "importance") for c, v in _importance(df, cols, target) if v < 0.01]
     out = df.sparkSession.createDataFrame(flagged, "col string, method string")
     return out.groupBy("col").agg(F.count(F.lit(1)).alias("votes")).where(F.col("votes") >= votes)
 
@@ -333,7 +393,7 @@ QUERIES = {f"engineer_{op}": _engineered(op) for op in _ENG} | {
 } | {f"transform_{m}": _transformed(m) for m in ("log1p", "sqrt", "standard_scale", "minmax_scale", "robust_scale", "rank", "boxcox", "yeojohnson", "power", "quantile")} | {
     "variance_filter": over("fx_const", lambda d: d.sparkSession.createDataFrame([(c,) for c in variance_filter(d, ["l_quantity", "five", "l_tax"])], "col string")),
     "correlation_filter": over("fx_const", lambda d: d.sparkSession.createDataFrame([(c,) for c in correlation_filter(d, ["l_quantity", "l_tax", "twice"])], "col string")),
-    "mutual_information": over("fx_const", lambda d: mutual_information(d, ["l_quantity", "l_tax"], "target").select("col", F.round("mi", 6).alias("mi"))),
+    "mutual_information": over("fx_const", lambda d: equal_width_information(d, ["l_quantity", "l_tax"], "target").select("col", F.round("mi", 6).alias("mi"))),
     "tree_importance": over("fx_const", lambda d: d.sparkSession.createDataFrame([max(tree_importance(d, ["l_quantity", "l_tax"], "target", True), key=lambda x: x[1])], "col string, importance double").select("col")),
     "feature_selection": over("fx_const", lambda d: select_features(d, ["l_quantity", "l_tax", "twice", "five"], "target")),
     "pca": over("lineitem", lambda d: pca(d, ["l_quantity", "l_tax"]).select("component", F.round("share", 6).alias("share"), F.round("cumulative", 6).alias("cumulative"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -86,6 +87,24 @@ def test_imputation_leaves_observed_cells(spark):
     assert impute.apply(df, "y", "gain", impute.Evidence("k"))[1] == "fallback_median"
 
 
+def test_information_of_skewed_columns_and_numeric_targets(spark):
+    rng = np.random.default_rng(1)
+    n = 3000
+    z, e, flat = rng.normal(size=(3, n))
+    skewed = np.exp(3 * z)
+    skewed[0] = 1e12
+    y = 0.8 * z + 0.6 * e
+    df = spark.createDataFrame(pd.DataFrame({"skewed": skewed, "flat": flat, "y": y, "label": (z > 0).astype(int), "zeros": np.where(z > 1.9, z, 0.0)}))
+    mi = {r["col"]: r["mi"] for r in prep.mutual_information(df, ["skewed", "flat"], "y").collect()}
+    assert mi["skewed"] == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.12) and mi["flat"] < 0.01
+    mi = {r["col"]: r["mi"] for r in prep.mutual_information(df, ["skewed", "flat", "zeros"], "label").collect()}
+    assert mi["skewed"] > 0.5 and mi["zeros"] > 0.01 and mi["flat"] < 0.01
+    mi = {r["col"]: r["mi"] for r in prep.mutual_information(df, ["skewed", "flat", "y"]).collect()}
+    assert mi["skewed"] > 0.3 and mi["y"] > 0.3 and mi["flat"] < 0.01
+    assert prep.select_features(df, ["skewed", "flat"], "y", 1).select("col").collect() == [("flat",)]
+    assert prep.select_features(df, ["skewed", "flat", "y"], None, 1).where("col = 'skewed'").count() == 0
+
+
 def test_special_functions():
     assert specfun.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert specfun.t_sf2(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
