@@ -157,8 +157,9 @@ def pmm(df: DataFrame, col: str, ev: Evidence) -> DataFrame | None:
     return nearest_donor(guessed, ev.key, "__pred", col, "__donor").withColumn(col, F.coalesce(col, "__donor")).select(*df.columns)
 
 
-def _neighbours(df: DataFrame, col: str, ev: Evidence, k: int) -> DataFrame:
-    full = df.where(" and ".join(f"`{x}` is not null" for x in ev.correlates))
+def _neighbours(df: DataFrame, col: str, ev: Evidence, k: int, partly: bool = False) -> DataFrame:
+    """Mean and first value of the k nearest donors, among complete rows or (``partly``) rows with any correlate observed."""
+    full = df.where((" or " if partly else " and ").join(f"`{x}` is not null" for x in ev.correlates))
     donors, asking = full.where(F.col(col).isNotNull()), full.where(F.col(col).isNull())
     near = nearest_rows(asking, donors, ev.key, ev.correlates, k)
     values = donors.select(F.col(ev.key).cast("long").alias("other"), F.col(col).alias("__v"))
@@ -166,22 +167,29 @@ def _neighbours(df: DataFrame, col: str, ev: Evidence, k: int) -> DataFrame:
 
 
 def knn(df: DataFrame, col: str, ev: Evidence, k: int = 5) -> DataFrame | None:
+    """Mean of k neighbours by distance over the correlates both rows have; the mean of all where no donor shares one."""
     if not ev.correlates:
         return None
-    found = _neighbours(df, col, ev, k)
-    return median(df.join(found, df[ev.key] == found["__k"], "left").withColumn(col, F.coalesce(col, "__m")).select(*df.columns), col, ev)
+    found = _neighbours(df, col, ev, k, partly=True)
+    filled = df.join(found, df[ev.key] == found["__k"], "left").withColumn(col, F.coalesce(col, "__m")).select(*df.columns)
+    return _with(filled, col, F.lit(_scalar(df, F.avg(col))))
 
 
 def knn_categorical(df: DataFrame, col: str, ev: Evidence, k: int = 5) -> DataFrame | None:
-    """Codes of the sorted categories, mean of k neighbours, rounded, decoded."""
+    """Codes of the sorted categories, imputed as numbers (``knn``), rounded, decoded."""
     if not ev.correlates:
         return None
-    names = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(10_000).collect()]  # bounded
-    code = F.create_map(*[F.lit(x) for i, v in enumerate(names) for x in (v, float(i))])
-    found = _neighbours(df.withColumn(col, F.element_at(code, F.col(col))), col, ev, k)
-    at = F.greatest(F.lit(0), F.least(F.lit(len(names) - 1), F.bround("__m").cast("int")))
-    back = F.element_at(F.array(*[F.lit(v) for v in names]), at + 1)
-    return mode(df.join(found, df[ev.key] == found["__k"], "left").withColumn(col, F.coalesce(col, back)).select(*df.columns), col, ev)
+    names = df.where(F.col(col).isNotNull()).select(F.col(col).alias("__name")).distinct()
+    codes = cut(running(names, [], ["__name"], {"__upto": F.lit(1)}).select("__name", (F.col("__upto") - 1).cast("double").alias("__code")))
+    n = codes.count()
+    if not n:
+        return df
+    coded = df.join(codes, df[col] == codes["__name"], "left").withColumn(col, F.col("__code")).select(*df.columns)
+    found = _neighbours(coded, col, ev, k, partly=True)
+    at = F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), F.bround(F.coalesce("__m", F.lit(_scalar(coded, F.avg(col)))))))
+    near = df.join(found, df[ev.key] == found["__k"], "left").withColumn("__at", at)
+    back = codes.select(F.col("__code").alias("__at"), F.col("__name").alias("__back"))
+    return near.join(back, "__at", "left").withColumn(col, F.coalesce(col, "__back")).select(*df.columns)
 
 
 def hotdeck(df: DataFrame, col: str, ev: Evidence) -> DataFrame:

@@ -34,8 +34,18 @@ def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Rounded to nine digits, so that equal distances tie however they were summed."""
+    """Rounded to nine digits, so that equal distances tie however they were summed.
+
+    With missing coordinates those that both rows have count for all; rows that share none are infinitely far apart.
+    """
     d = np.zeros((len(x), len(y)))
+    if np.isnan(x).any() or np.isnan(y).any():
+        shared = np.zeros(d.shape)
+        for j in range(x.shape[1]):
+            gap = (x[:, j, None] - y[None, :, j]) ** 2
+            shared += ~np.isnan(gap)
+            d += np.nan_to_num(gap, nan=0.0)
+        return np.where(shared > 0, np.round(np.sqrt(d * (x.shape[1] / np.maximum(shared, 1))), 9), np.inf)
     for j in range(x.shape[1]):
         d += (x[:, j, None] - y[None, :, j]) ** 2
     return np.round(np.sqrt(d), 9)

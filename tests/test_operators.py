@@ -105,6 +105,39 @@ def test_information_of_skewed_columns_and_numeric_targets(spark):
     assert prep.select_features(df, ["skewed", "flat", "y"], None, 1).where("col = 'skewed'").count() == 0
 
 
+def test_knn_with_partly_observed_rows(spark, duck):
+    rng = np.random.default_rng(2)
+    n = 120
+    x = np.round(rng.normal(size=(n, 3)), 3)
+    x[rng.random((n, 3)) < 0.4] = np.nan
+    y = np.where(np.arange(n) % 4 == 0, np.nan, np.arange(n) * 1.0)
+    x[8] = np.nan
+    gap = (x[:, None, :] - x[None, :, :]) ** 2
+    both = (~np.isnan(gap)).sum(2)
+    d = np.where(both > 0, np.round(np.sqrt(np.nansum(gap, 2) * 3 / np.maximum(both, 1)), 9), np.inf)
+    rows = [[i, *[None if math.isnan(v) else float(v) for v in (*x[i], y[i])]] for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double, y double").withColumn("s", base.F.format_string("c%03d", base.F.col("y").cast("int")))
+    df = df.withColumn("s", base.F.when(base.F.col("y").isNotNull(), base.F.col("s")))
+    seen = [j for j in range(n) if not math.isnan(y[j])]
+    names = [f"c{int(y[j]):03d}" for j in seen]
+    want, text = {}, {}
+    for i in range(0, n, 4):
+        near = sorted((d[i, j], j) for j in seen if np.isfinite(d[i, j]))[:5]
+        want[i] = np.mean([y[j] for _, j in near]) if near else np.nanmean(y)
+        text[i] = names[int(np.round(np.mean([seen.index(j) for _, j in near] if near else range(len(seen)))))]
+    ev = impute.Evidence("k", ["a", "b", "c"])
+    assert {r["k"]: r["y"] for r in impute.knn(df, "y", ev).where("k % 4 = 0").collect()} == pytest.approx(want)
+    assert {r["k"]: r["s"] for r in impute.knn_categorical(df, "s", ev).where("k % 4 = 0").collect()} == text
+    for name in ("impute_knn_categorical", "impute_hotdeck", "mutual_information"):
+        test_against_sql(spark, duck, name)
+
+
+def test_knn_with_very_many_categories(spark):
+    rows = spark.range(10_050).selectExpr("id as k", "cast(id as double) as x", "case when id in (7, 10040) then null else format_string('c%06d', id) end as s")
+    out = {r["k"]: r["s"] for r in impute.knn_categorical(rows, "s", impute.Evidence("k", ["x"]), 1).where("k in (7, 10040, 10049)").collect()}
+    assert out == {7: "c000006", 10040: "c010039", 10049: "c010049"}
+
+
 def test_special_functions():
     assert specfun.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert specfun.t_sf2(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
