@@ -54,7 +54,7 @@ def extremes(df: DataFrame, cols: list[str], k: int = 5) -> DataFrame:
 
 
 def agreement(df: DataFrame, cols: list[str]) -> DataFrame:
-    """How many values 0, 1, 2 or 3 of the univariate methods flag."""
+    """How many values of each column 0, 1, 2 or 3 of the univariate methods flag; ``row_agreement`` has all six by row."""
     n = F.col("iqr").cast("int") + F.col("z").cast("int") + F.col("modz").cast("int")
     return flags(df, cols).groupBy("col", n.alias("methods")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -160,6 +160,46 @@ def dbscan_clusters(df: DataFrame, key: str, cols: list[str], eps: float, least:
         labels = new.select("id", "c")
 
 
+# --- agreement by row ---------------------------------------------------------------------------------------------
+METHODS = ("iqr", "z", "modz", "forest", "lof", "dbscan")
+
+
+def isolation_flags(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    return isolation_forest(df, key, cols).select(key, (F.col("score") > 0.5).alias("forest"))
+
+
+def row_flags(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, one flag per method) of each complete row; a univariate method flags a row if it flags any column.
+
+    Fences are those of whole columns, z-scores those of complete rows. With one column or under 20 complete rows the
+    multivariate methods flag nothing.
+    """
+    df = clean(df, cols)
+    rows = df.dropna(subset=cols)
+    n = rows.count()
+    ends = {r["col"]: r for r in fences(df, cols).collect()}  # a row per column
+    st = {r["col"]: r for r in fences(rows, cols).collect()}
+    none = F.lit(False)
+    far = lambda c, of, mid, scale, limit: F.abs((F.col(c) - of[c][mid]) / of[c][scale]) > limit if c in of and of[c][scale] else none
+    any_of = lambda e: F.coalesce(F.greatest(none, none, *[e(c) for c in cols]), none)
+    out = rows.select(
+        key, any_of(lambda c: (F.col(c) < ends[c]["lo"]) | (F.col(c) > ends[c]["hi"]) if c in ends else none).alias("iqr"),
+        any_of(lambda c: far(c, st, "mean", "sd", 3)).alias("z"), any_of(lambda c: far(c, st, "med", "mad", 3.5 / 0.6745)).alias("modz"),
+    )
+    if n < 20 or len(cols) < 2:
+        return out.withColumns(dict.fromkeys(METHODS[3:], none))
+    lof = local_outlier_factor(rows, key, cols, min(20, n - 1)).select(key, (F.col("lof") > 1.5).alias("lof"))
+    noise = dbscan_noise(rows, key, cols, dbscan_eps(rows, key, cols).first()["eps"]).select(key, F.col("noise").alias("dbscan"))
+    for found in (isolation_flags(rows, key, cols), lof, noise):
+        out = out.join(found, key, "left")
+    return out.select(key, *[F.coalesce(m, none).alias(m) for m in METHODS])
+
+
+def row_agreement(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(key, methods): how many of the six methods flag each complete row."""
+    return row_flags(df, key, cols).select(key, sum((F.col(m).cast("int") for m in METHODS), F.lit(0)).alias("methods"))
+
+
 FIXTURES["fx_points"] = "SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part"
 XY = ["p_size", "p_retailprice"]
 _S = "with s as (select p_partkey, (p_size - avg(p_size) over ()) / stddev_pop(p_size) over () as x, (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over () as y from part)"
@@ -172,6 +212,8 @@ QUERIES = {
     "outlier_extremes": over("events", lambda d: extremes(d, ["value"])),
     "outlier_agreement": over("events", lambda d: agreement(d, ["value", "user_id"])),
     "isolation_forest": over("fx_points", lambda d: isolation_forest(d, "p_partkey", XY).select("p_partkey", F.col("score").between(0, 1).alias("valid"))),
+    "isolation_forest_flags": over("fx_points", lambda d: isolation_flags(d, "p_partkey", XY)),
+    "outlier_row_agreement": over("fx_points", lambda d: row_agreement(d, "p_partkey", XY)),
     "local_outlier_factor": over("fx_points", lambda d: local_outlier_factor(d, "p_partkey", XY).select("p_partkey", F.round("lof", 4).alias("lof"))),
     "dbscan_eps": over("fx_points", lambda d: dbscan_eps(d, "p_partkey", XY).select(F.round("eps", 5).alias("eps"))),
     "dbscan_noise": over("fx_points", lambda d: dbscan_noise(d, "p_partkey", XY, 0.1)),

@@ -11,7 +11,7 @@ import pytest
 
 from tabquarry import operators
 from tabquarry.functions import specfun
-from tabquarry.operators import base, drift, impute, prep, profile, quality
+from tabquarry.operators import base, drift, impute, outliers, prep, profile, quality
 
 DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLE = operators.collect("QUERIES"), operators.collect("ORACLE")
@@ -138,6 +138,36 @@ def test_knn_with_very_many_categories(spark):
     assert out == {7: "c000006", 10040: "c010039", 10049: "c010049"}
 
 
+def test_row_agreement_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(70, 2)) * 0.3 - 2, rng.normal(size=(70, 2)) * 0.3 + 2, [[-2.0, 2.0]], [[30.0, 30.0]]])
+    n = len(x)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(n, None, 0.0)], "k long, a double, b double")
+    whole = np.column_stack([x[:, 0], x[:, 1]])
+    q = [np.percentile(c, [25, 75]) for c in (x[:, 0], np.append(x[:, 1], 0.0))]
+    iqr = np.any([(c < lo - 1.5 * (hi - lo)) | (c > hi + 1.5 * (hi - lo)) for c, (lo, hi) in zip(whole.T, q, strict=True)], axis=0)
+    z = (x - x.mean(0)) / x.std(0)
+    med = np.median(x, axis=0)
+    modz = (np.abs(0.6745 * (x - med) / np.median(np.abs(x - med), axis=0)) > 3.5).any(1)
+    d = np.round(np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), 9)
+    order = [sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:20] for i in range(n)]
+    kd = [d[i, o[-1]] for i, o in enumerate(order)]
+    lrd = [1 / (np.mean([max(d[i, j], kd[j]) for j in o]) + 1e-10) for i, o in enumerate(order)]
+    lof = np.array([np.mean([lrd[j] for j in o]) / lrd[i] for i, o in enumerate(order)]) > 1.5
+    eps = outliers.dbscan_eps(df.where("a is not null"), "k", ["a", "b"]).first()["eps"]
+    core = (d <= eps).sum(1) >= 5
+    noise = ~((d <= eps) & core[None, :]).any(1)
+    got = outliers.row_flags(df, "k", ["a", "b"]).toPandas().sort_values("k")
+    assert got["k"].tolist() == list(range(n))
+    for name, want in (("iqr", iqr), ("z", (np.abs(z) > 3).any(1)), ("modz", modz), ("lof", lof), ("dbscan", noise)):
+        assert got[name].tolist() == want.tolist(), name
+    score = outliers.isolation_forest(df, "k", ["a", "b"]).toPandas().sort_values("k")["score"]
+    assert got["forest"].tolist() == (score > 0.5).tolist() and got["forest"].iloc[-1] and not got["forest"].all()
+    count = {r["k"]: r["methods"] for r in outliers.row_agreement(df, "k", ["a", "b"]).collect()}
+    assert count == dict(zip(got["k"], got[list(outliers.METHODS)].sum(axis=1), strict=True))
+    assert lof[n - 2] and not iqr[n - 2] and count[n - 2] >= 1  # only multivariate methods see this row
+
+
 def test_special_functions():
     assert specfun.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert specfun.t_sf2(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
