@@ -168,6 +168,18 @@ def test_row_agreement_against_brute_force(spark):
     assert lof[n - 2] and not iqr[n - 2] and count[n - 2] >= 1  # only multivariate methods see this row
 
 
+def test_best_fit_of_five_families(spark):
+    rng = np.random.default_rng(6)
+    n = 1500
+    of = lambda v: {r["name"]: r["ks"] for r in drift.best_fit(spark.createDataFrame([(float(t),) for t in v], "x double"), "x").collect()}
+    bounded = of(rng.beta(0.5, 0.8, n))
+    assert list(bounded)[0] == "beta" and bounded["beta"] < 0.04
+    for name, v in (("lognorm", np.exp(0.6 * rng.normal(size=n))), ("gamma", rng.gamma(2.5, 2.0, n))):
+        found = of(v - 1.5)
+        assert v.min() < 1.5 and set(found) == {"norm", "lognorm", "expon", "gamma", "beta"}
+        assert found[name] < 0.05 < found["norm"]
+
+
 def test_special_functions():
     assert specfun.chi2_sf(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
     assert specfun.t_sf2(2.2281388519649385, 10) == pytest.approx(0.05, abs=1e-9)
