@@ -1,21 +1,25 @@
-"""MinHash near-duplicates by banding of fixed depth and prefix filtering, in place of a dealt LSH forest.
-
-Documents with equal shingle sets are one class from the start. A class has a signature of TREES x DEPTH minima; tree t
-is the band of DEPTH values from t * DEPTH on, hashed to a region. Nothing is sorted and no common prefix is measured, so
-a region's depth does not adapt; what bands of one depth leave open is found by steps 2 and 3 instead. At 0.75 similarity a pair shares them in none of the trees with probability (1 - 0.75**3)**28 = 2e-7.
-
-1. In each region of common prefix every class is a candidate with the region's first class, so that a large group of
-   near copies gives a star and not all its pairs. Candidates whose signatures agree in less than ``ESTIMATE`` of the
-   values (over five standard deviations below the threshold), or whose sizes rule the threshold out, are dropped; the
-   others are confirmed on their full sets. Confirmed links give components.
-2. In regions whose members are still in several components, those outside the first one's component look for their
-   likeliest partners, by signature, in blocks that split dense regions by hash; in ``ROUNDS`` rounds the confirmed ones
-   join components.
-3. All that is still open, whatever a region's size, is settled by prefix filtering on the rarest shingles. Its
-   pairs pass the estimate of step 1 before they are confirmed, which loses about 2.3e-7 of the pairs at 0.75.
-
-Step 2 keeps a few partners a row, as step 3 finds all the others. Components are found by hash-min with pointer jumping in
-Spark; links, labels and sets stay distributed.
+"""MinHash near-duplicates by an LSH forest: sorted signature orders, longest-common-prefix neighbours, adaptive depth.
+
+Documents with equal shingle sets are one class from the start. A class has a signature of minima and, beside it, an odd
+sketch: bit i is the parity of its shingles that hash to i. Two sketches differ in at most as many bits as the sets differ
+in shingles, so a pair whose sketches differ in too many bits is ruled out with certainty.
+
+1. Each of the ``TREES`` trees reads the signature from a place of its own on and so has an order of all classes. Classes
+   that share its first ``DEPTH`` values are a region; at 0.75 similarity a pair shares a region in none of the trees with
+   probability (1 - 0.75**3)**28 = 2e-7. Classes alone in all their regions are done.
+2. The members of a region are sorted by the tree's further values, range-partitioned, so that a dense region spreads over
+   tasks. Candidates of a class are its neighbour in the order, which has the longest common prefix with it, the first
+   of its region, and the first of its part of the region at the depth that the region's density asks for: each doubling
+   of a region beyond ``DENSE`` classes adds a value. Candidates that the sketches allow are confirmed on their full
+   sets, and confirmed links give components.
+3. Regions whose members are still in several components are open. In each of them the classes outside its largest
+   component are held against all others, by sketch, in blocks that split dense regions by hash. All pairs of different
+   components that the sketches allow are confirmed, whatever a region's size; so no link of a shared region is lost.
+   What leaves a block are these pairs alone.
+
+The work of step 3 is (classes outside the largest component) x (classes) in a region, the only part that can grow
+faster than the input; a comparison is a few hundred bits. Components are found by hash-min with pointer jumping in
+Spark; links, labels and sets stay distributed. Tables written between steps are deleted as soon as they are used up.
 
 Cases: null and blank texts have an empty set, link with nothing and are their own component; fewer than five words are
 one shingle; rows of one id are documents of their own, though they share a component id only if linked; null ids count
@@ -31,16 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, fresh, stored, table
+from .common import WORD, discard, fresh, partitions, stored, table
 from .shingles import mix, shingle_set
 from .vectors import apart
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 75, 100
-TREES, DEPTH = 28, 3
-ESTIMATE = 0.5
-BLOCK = 2048
-ROUNDS, BEST = 2, 4
+TREES, DEPTH, DEEPEST = 28, 3, 12
+DENSE = 256
+BLOCK = 1024
+SKETCH_BITS = 1024
 
 _rng = np.random.default_rng(6)
 _A = _rng.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -61,6 +65,28 @@ def class_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([h], np.uint64)).view(np.int64)[0])
 
 
+def odd_sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles by place. The places are a power of two of at least four times the shingles, so that few of
+    them meet; halving a sketch is to add its halves."""
+    bits = max(SKETCH_BITS, 1 << (4 * len(shingles) - 1).bit_length())
+    places = (shingles & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _bits(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words, halved to ``size`` bytes."""
+    out = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while out.shape[1] > size // 8:
+        half = out.shape[1] // 2
+        out = out[:, :half] ^ out[:, half:]
+    return out
+
+
+def may_link(differing, n: int, m) -> bool:
+    """Whether sets of these sizes that differ in at least so many shingles can reach the threshold."""
+    return (DENOMINATOR + NUMERATOR) * differing <= (DENOMINATOR - NUMERATOR) * (n + m)
+
+
 def regions(sig: np.ndarray) -> np.ndarray:
     """The name of the region of each tree, for signatures in rows."""
     v = sig.reshape(len(sig), TREES, DEPTH).astype(np.uint64)
@@ -71,19 +97,21 @@ def regions(sig: np.ndarray) -> np.ndarray:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, n_shingles, class, signature."""
+    """doc_id, text hash, n_shingles, class, signature, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, SHINGLE) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                ["doc_id", "th", "n", "cid", "sig"],
-            )
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingle_set(t, SHINGLE) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([odd_sketch(s) if len(s) else None for s in sets], pa.binary())],
+                    ["doc_id", "th", "n", "cid", "sig", "odd"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, n long, cid long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, cid long, sig binary, odd binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -101,170 +129,240 @@ def components(edges: DataFrame) -> DataFrame:
         last, labels = moved, moved.select("id", "comp")
         if not moved.where("comp <> old").limit(1).count():
             discard(both)
+            labels._stored_at = moved._stored_at
             return labels
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, est) of the pairs whose sizes and signatures allow the threshold."""
-    of = lambda x: apart(classes).select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    met = met.where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
+def in_regions(classes: DataFrame) -> DataFrame:
+    """(tree, region, cid, m, first) of the regions that more than one class shares: m classes, ``first`` the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(-1, len(_A)) for i in (2, 3))
-            est = (x == y).mean(axis=1)
-            keep = pa.array(est >= ESTIMATE)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(est)], ["a", "b", "est"]).filter(keep)
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, len(_A))
+            trees = np.tile(np.arange(TREES, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(regions(sig).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], ["tree", "region", "cid"])
 
-    return met.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
+    placed = classes.select("cid", "sig").mapInArrow(run, "tree int, region long, cid long")
+    shared = placed.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("first")).where("m > 1")
+    return placed.join(shared, "region").select("tree", "region", "cid", "m", "first")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that reach the threshold on their full sets."""
-    of = lambda x: apart(sets).select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}"))
+def sorted_orders(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, m, first, cid, key) in the trees' orders; key: the tree's values behind the region's own."""
+    values = DEEPEST - DEPTH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(5).to_pylist()), "<u4").reshape(-1, len(_A))
+            at = (b.column(0).to_numpy()[:, None] * DEPTH + np.arange(DEPTH, DEEPEST)) % len(_A)
+            keys = np.ascontiguousarray(np.take_along_axis(sig, at, axis=1).astype(">u4"))
+            raw = pa.Array.from_buffers(pa.binary(4 * values), len(keys), [None, pa.py_buffer(keys)]).cast(pa.binary()) if len(keys) else pa.array([], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(1, 5)], raw], ["region", "m", "first", "cid", "key"])
+
+    met = members.join(apart(classes).select("cid", "sig"), "cid").select("tree", "region", "m", "first", "cid", "sig")
+    keyed = met.mapInArrow(run, "region long, m long, first long, cid long, key binary")
+    return keyed.repartitionByRange(partitions(members.sparkSession), "region", "key", "cid").sortWithinPartitions("region", "key", "cid")
+
+
+def candidates(ordered: DataFrame) -> DataFrame:
+    """(a, b) of step 2: neighbours in the order, and firsts of regions and of their parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the row before this batch: region, key, cid, and the first of its part at each depth
+        region, key, cid = np.zeros(1, np.int64), np.zeros((1, DEEPEST - DEPTH), ">u4"), np.zeros(1, np.int64)
+        firsts, begun = np.zeros(DEEPEST + 1, np.int64), False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = np.concatenate([[1], b.column(1).to_numpy()])
+            star = np.concatenate([cid[-1:], b.column(2).to_numpy()])
+            region = np.concatenate([region[-1:], b.column(0).to_numpy()])
+            cid = np.concatenate([cid[-1:], b.column(3).to_numpy()])
+            key = np.concatenate([key[-1:], np.frombuffer(b"".join(b.column(4).to_pylist()), ">u4").reshape(b.num_rows, -1)])
+            same = (region[1:] == region[:-1]) & (begun | (np.arange(len(region) - 1) > 0))
+            common = np.where(same, DEPTH + np.cumprod(key[1:] == key[:-1], axis=1).sum(1), 0)
+            depth = np.clip(DEPTH + np.ceil(np.log2(np.maximum(m, 1) / DENSE)), DEPTH, DEEPEST).astype(np.int64)
+            part, at = np.zeros(len(cid), np.int64), np.arange(len(cid))
+            for d in range(DEPTH, DEEPEST + 1):
+                begins = np.concatenate([[0], np.where(common < d, at[1:], 0)])
+                leads = cid[np.maximum.accumulate(begins)]
+                carried = np.maximum.accumulate(begins) == 0  # still the part of the row before this batch
+                leads = np.where(carried, firsts[d], leads)
+                part = np.where(depth == d, leads, part)
+                firsts[d] = leads[-1]
+            rows = cid[1:]
+            near = cid[:-1][common >= DEPTH], rows[common >= DEPTH]
+            x = np.concatenate([near[0], part[1:], star[1:]])
+            y = np.concatenate([near[1], rows, rows])
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y], axis=0)
+            begun = True
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+def allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that the sketches do not rule out."""
+    of = lambda x: apart(classes).select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    met = met.where(DENOMINATOR * F.least("n_a", "n_b") >= NUMERATOR * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+            for n, m, s, t in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                size = min(len(s), len(t))
+                keep.append(may_link(int(np.bitwise_count(_bits([s], size) ^ _bits([t], size)).sum()), n, m))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, shingles) of the wanted classes, from one document each."""
-    first = rows.join(wanted.distinct(), "cid").groupBy("cid").agg(F.min(F.struct("th", "doc_id")).alias("r")).select("cid", "r.th", "r.doc_id")
-    one = first.groupBy("th").agg(F.min("cid").alias("cid"))  # equal texts, equal class
+    one = apart(classes).select("cid", "rep.th", F.col("rep.doc_id").alias("i")).join(wanted.distinct(), "cid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, SHINGLE).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["cid", "shingles"])
-
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(one, "th")
-    return texts.select("cid", "text").mapInArrow(run, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-
-
-def _cross(x: pa.Table, y: pa.Table) -> pa.Table:
-    """For each row the few likeliest pairs into other components, in a block of a region, by signature."""
-    out: list[tuple[np.ndarray, ...]] = []
-    if x.num_rows and y.num_rows:
-        read = lambda t: (t.column("cid").to_numpy(), t.column("comp").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, len(_A)))
-        (xi, xc, xn, xs), (yi, yc, yn, ys) = read(x), read(y)
-        for i in range(len(xi)):
-            ok = np.nonzero((yc != xc[i]) & (DENOMINATOR * np.minimum(xn[i], yn) >= NUMERATOR * np.maximum(xn[i], yn)))[0]
-            est = (ys[ok] == xs[i]).mean(axis=1) if len(ok) else np.zeros(0)
-            best = np.argsort(-est, kind="stable")[:BEST]
-            ok, est = ok[best][est[best] >= ESTIMATE], est[best][est[best] >= ESTIMATE]
-            out.append((np.minimum(xi[i], yi[ok]), np.maximum(xi[i], yi[ok]), est))
-    kinds = (("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64()))
-    return pa.table({m: pa.array(np.concatenate([o[j] for o in out]) if out else [], k) for j, (m, k) in enumerate(kinds)})
-
-
-def between_components(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b, est): pairs of step 2. Regions are split into blocks of about BLOCK members by hash, on both sides."""
-    left = mixed_members(members, labels).join(classes, "cid")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    place = F.pmod(F.xxhash64("cid", "region"), blocks).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    minor = left.where("comp <> main").withColumn("i", place).withColumn("j", every)
-    all_of = left.withColumn("j", place).withColumn("i", every)
-    keys, cols = ["region", "i", "j"], ["region", "i", "j", "cid", "comp", "n", "sig"]
-    return minor.select(*cols).groupBy(*keys).cogroup(apart(all_of.select(*cols)).groupBy(*keys)).applyInArrow(_cross, "a long, b long, est double").distinct()
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [shingle_set(t, SHINGLE).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
+    texts = docs.select(F.xxhash64("text").alias("th"), F.col("doc_id").cast("long").alias("__id"), "text")
+    met = texts.join(one, (texts["th"] == one["th"]) & texts["__id"].eqNullSafe(one["i"])).select("cid", "text")
+    # rows that repeat whole are the only ones that give a class twice
+    return met.mapInArrow(run, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
-def mixed_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(region, cid, comp, m, main) of the regions whose members are in several components."""
-    labelled = members.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    per = labelled.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("cid", "comp")).alias("first"))
-    mixed = per.where("lo <> hi").select("region", "m", F.col("first.comp").alias("main"))
-    return labelled.join(mixed, "region")
 
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that reach the threshold on their full sets."""
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    sets = stored(full_sets(docs, classes, ends))
+    of = lambda x: apart(sets).select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}"))
 
-def by_rare_shingles(sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): every pair of different components that can reach the threshold, by prefix filtering. Exact.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for s, t in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    Of two sets that reach it, the rarest n - ceil(0.75 n) + 1 shingles of each, in one order for all, have one in common.
-    Shingles that one set alone holds come first in that order and match nothing, so only what is left of a prefix
-    beyond them is joined: passages that many texts share are last and hardly ever in a prefix.
-    """
+    out = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
+    discard(sets)
+    return out
+
+
+def _across(cid: np.ndarray, comp: np.ndarray, n: np.ndarray, side: np.ndarray, odd: list[bytes]) -> np.ndarray:
+    """Pairs of different components in one block that the sketches allow, of a row that asks (side 1 or 2) and one that is asked (0 or 2)."""
+    out, by = [], {}
+    for i, s in enumerate(odd):
+        by.setdefault(len(s), []).append(i)
+    for size, mine in by.items():
+        asks = np.array([i for i in mine if side[i]], np.int64)
+        if not len(asks):
+            continue
+        for other in (size // 2, size, 2 * size):  # sets of less alike sizes cannot link
+            asked = np.array([i for i in by.get(other, ()) if side[i] != 1], np.int64)
+            if not len(asked):
+                continue
+            least = min(size, other)
+            x, y = _bits([odd[i] for i in asks], least), _bits([odd[i] for i in asked], least)
+            for k, i in enumerate(asks):
+                far = np.bitwise_count(y ^ x[k]).sum(axis=1, dtype=np.int64)
+                hit = asked[may_link(far, n[i], n[asked]) & (comp[asked] != comp[i])]
+                out.append(np.stack([np.minimum(cid[i], cid[hit]), np.maximum(cid[i], cid[hit])], axis=1))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+
+
+def open_regions(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, cid, comp, m, main) of the regions whose members are in several components; main: the one of most members."""
+    known = members.select("region", "cid", "m").join(apart(labels).withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    sizes = known.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("k"))
+    several = sizes.groupBy("region").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
+    return known.join(several.select("region", "main"), "region")
+
+
+def across_components(members: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b) of step 3. A region of more than BLOCK classes is cut into blocks by hash, on both sides."""
+    rows = open_regions(members, labels).join(apart(classes).select("cid", "n", "odd"), "cid")
+    minor, blocks = F.col("comp") != F.col("main"), F.ceil(F.col("m") / BLOCK).cast("int")
+    place = F.pmod(F.xxhash64("cid", "region"), blocks).cast("int")
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    asked = F.transform(every, lambda i: cell(i, F.col("place"), 0))
+    asking = F.transform(every, lambda j: cell(F.col("place"), j, 1))
+    both = F.array(F.when(minor, cell(F.lit(0), F.lit(0), 2)).otherwise(cell(F.lit(0), F.lit(0), 0)))
+    cells = F.when(blocks == 1, both).when(minor, F.concat(asked, asking)).otherwise(asked)
+    dealt = rows.withColumn("place", place).withColumn("c", F.explode(cells)).select("region", "c.i", "c.j", "c.side", "cid", "comp", "n", "odd")
+    laid = dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not t.num_rows:
+                return
+            place = np.stack([t.column(i).to_numpy() for i in range(3)], axis=1)
+            ends = [*(np.nonzero((place[1:] != place[:-1]).any(axis=1))[0] + 1).tolist(), len(place)]
+            side, cid, comp, n = (t.column(i).to_numpy() for i in range(3, 7))
+            odd, at, found = t.column(7).to_pylist(), 0, []
+            for end in ends:
+                found.append(_across(cid[at:end], comp[at:end], n[at:end], side[at:end], odd[at:end]))
+                at = end
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c)), pa.array(np.full(len(x), len(x))), pa.array(x)], ["cid", "n", "s"])
-
-    cells = sets.select("cid", "shingles").mapInArrow(spread, "cid long, n long, s long")
-    shared = apart(cells).groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    room = F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1 - (F.col("n") - F.size("l"))
-    own = cells.join(shared, "s").groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("l")).withColumn("room", room.cast("int"))
-    prefix = own.where("room > 0").select("cid", "n", F.explode(F.slice("l", F.lit(1), F.col("room"))).alias("x")).select("cid", "n", "x.s")
-    known = prefix.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = known.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo <> hi").select("s", "main")
-    left = stored(known.join(several, "s"))
-    # rows of a shingle's largest component meet only the rows outside it
-    other = apart(left).drop("main").withColumnsRenamed({"cid": "b", "n": "n_b", "comp": "comp_b"})
-    sizes = DENOMINATOR * F.least("n", "n_b") >= NUMERATOR * F.greatest("n", "n_b")
-    met = left.where("comp <> main").join(other, "s").where((F.col("comp") != F.col("comp_b")) & sizes)
-    return met.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+            if not b.num_rows:
+                continue
+            # rows from the last cell of this batch on wait for the next one
+            place = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            other = np.nonzero((place != place[-1]).any(axis=1))[0]
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and cut == 0 and tuple(held[0].column(i)[0].as_py() for i in range(3)) != tuple(place[0].tolist()):
+                yield from compared(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield from compared(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    return laid.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, text hash, n_shingles, component (a class name; null for empty sets), component_id, kept."""
     rows = stored(measured(docs))
-    classes = stored(rows.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("sig").alias("sig")))
-
-    def in_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u4").reshape(-1, len(_A))
-            yield pa.RecordBatch.from_arrays([pa.array(regions(sig).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), TREES))], ["region", "cid"])
-
-    placed = classes.select("cid", "sig").mapInArrow(in_trees, "region long, cid long")
-    first = placed.groupBy("region").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("region", "a")
-    members = stored(placed.join(first, "region"))
-    stars = members.where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
-    likely = stored(agreeing(stars, classes))
-    shared = members.select("region", "cid")
-    sets = stored(full_sets(docs, rows, likely.select(F.col("a").alias("cid")).unionByName(likely.select(F.col("b").alias("cid")))))
-    links = stored(confirmed(likely, sets).withColumn("ok", F.lit(1))).select("a", "b")
+    classes = stored(
+        rows.where("cid is not null").groupBy("cid")
+        .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id")).alias("rep"))
+    )
+    members = stored(in_regions(classes))
+    likely = stored(allowed(candidates(sorted_orders(members, classes)), classes))
+    links = confirmed(likely, docs, classes)
     labels = components(links)
-    tried = likely.select("a", "b")
-
-    def sets_of(pairs: DataFrame, have: DataFrame) -> DataFrame:
-        more = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        lacking = more.join(apart(have).select("cid"), "cid", "left_anti")
-        return stored(have.unionByName(full_sets(docs, rows, lacking))) if lacking.limit(1).count() else have
-
-    for _ in range(ROUNDS):
-        found = stored(between_components(shared, classes, labels).select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        if not found.limit(1).count():
-            break
-        sets = sets_of(found, sets)
-        new = stored(confirmed(found, sets))
-        tried = tried.unionByName(found)
-        if not new.limit(1).count():
-            break
-        links = stored(links.unionByName(new))
-        labels = components(links)
-    open_ones = stored(mixed_members(shared, labels).select("cid").distinct())
-    if open_ones.limit(1).count():
-        lacking = open_ones.join(apart(sets).select("cid"), "cid", "left_anti")
-        have = sets.join(open_ones, "cid", "left_semi").unionByName(full_sets(docs, rows, lacking))
-        have = stored(have)
-        found = stored(agreeing(by_rare_shingles(have, labels).join(tried, ["a", "b"], "left_anti"), classes).select("a", "b"))
-        new = stored(confirmed(found, have))
-        if new.limit(1).count():
-            links = stored(links.unionByName(new))
-            labels = components(links)
-    named = rows.select("doc_id", "th", "n", "cid").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    tried = apart(likely)
+    left = stored(across_components(members, classes, labels).join(tried, ["a", "b"], "left_anti"))
+    if left.limit(1).count():
+        more = confirmed(left, docs, classes)
+        if more.limit(1).count():
+            discard(labels)
+            labels = components(links.unionByName(more))
+        discard(more)
+    for done in (members, likely, links, left):
+        discard(done)
+    named = apart(classes).select("cid", "least").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = stored(named.select("cid", "component").join(least, "component"))
+    for done in (classes, labels):
+        discard(done)
+    out = rows.select("doc_id", "th", "n", "cid").join(of_class, "cid", "left")
+    own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

@@ -200,11 +200,74 @@ def test_neardup(spark):
     full = [r["doc_id"] for r in kept.collect() if WORD.search(r["text"] or "")]
     assert sorted(full) == sorted(7 * i + 1 for i in range(len(texts)) if comp[i] == i and sets[i])
     assert neardup.link(docs.limit(0)).count() == 0
-    # the exact step alone finds every link between different sets
-    held = spark.createDataFrame([(i, neardup.shingle_set(t).tobytes()) for i, t in enumerate(texts) if sets[i]], "cid long, shingles binary").dropDuplicates(["shingles"])
-    ids = {r["cid"] for r in held.collect()}
-    found = {tuple(r) for r in neardup.by_rare_shingles(held, spark.createDataFrame([], "id long, comp long")).collect()}
-    assert {(i, j) for i, j in itertools.combinations(sorted(ids), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} <= found
+
+
+def plain_components(texts):
+    """(set size, least linked index) of each text, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    comp = list(range(len(texts)))
+
+    def top(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j] and 3 * max(len(sets[i]), len(sets[j])) <= 4 * min(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            x, y = sorted((top(i), top(j)))
+            comp[y] = x
+    return [(len(x), top(i)) for i, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("dense, block, deepest_changes", [(256, 1024, 30), (4, 16, 30)])
+def test_neardup_in_dense_regions(spark, monkeypatch, dense, block, deepest_changes):
+    """A large group of near copies, many of them beyond the threshold of each other, a shared passage, and long texts."""
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, passage, texts = rng.choices(words, k=150), rng.choices(words, k=80), []
+    for i in range(260):
+        new = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, deepest_changes])):
+            new[rng.randrange(len(new))] = f"own{rng.randrange(10**9)}"
+        texts.append(" ".join(new))
+    texts += [" ".join(passage + rng.choices(words, k=rng.randint(2, 40))) for _ in range(80)]
+    long = rng.choices(words, k=6000)
+    texts += [" ".join(long), " ".join(long[:5000]), " ".join(long[:4000]), " ".join(long[2500:])]
+    rng.shuffle(texts)
+    want = {(i, n, c, c == i) for i, (n, c) in enumerate(plain_components(texts))}
+    got = neardup.link(docs_of(spark, texts)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert {tuple(r) for r in got.collect()} == want
+    assert len({r[2] for r in want}) > 20
+
+
+def test_odd_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 300, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.8, 0.95, 1.0):
+            y = np.unique(np.concatenate([x[: max(1, int(share * n))], rng.integers(0, 1 << 63, n // 20, dtype=np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            s, t = neardup.odd_sketch(x), neardup.odd_sketch(y)
+            size = min(len(s), len(t))
+            far = int(np.bitwise_count(neardup._bits([s], size) ^ neardup._bits([t], size)).sum())
+            assert far <= len(x) + len(y) - 2 * both
+            assert neardup.may_link(far, len(x), len(y)) or 100 * both < 75 * (len(x) + len(y) - both)
+
+
+def test_neardup_odd_rows(spark, awkward):
+    """Null and repeated ids, repeated rows and a clashing column."""
+    clash = awkward.unionByName(awkward).withColumn("CID", F.lit(1)).withColumn("__dk", F.lit("x"))
+    out = neardup.link(clash).collect()
+    assert len(out) == 2 * awkward.count()
+    kept = neardup.distinct_documents(clash)
+    assert kept.columns == clash.columns
+    words = [r for r in kept.collect() if WORD.search(r["text"] or "")]
+    assert len({r["text"] for r in words}) == len(words) and kept.where("text is null").count() == 2
 
 
 # --- 7 ------------------------------------------------------------------------------------------------------------
