@@ -3,19 +3,22 @@
 A window is ``WIDTH`` bytes of a text. It is removed if the same bytes start anywhere else, in another text or the same.
 
 1. Anchors: a window's anchor is the smallest hash among its KGRAM-byte strings, so equal windows have equal anchors
-   wherever they stand. Each stretch of windows with one anchor is a segment; segments, not texts, are dealt by anchor.
-   Equal segments are counted as one before they are moved.
+   wherever they stand. Each stretch of at most PIECE windows with one anchor is a segment; segments, not texts, are dealt by
+   anchor. Equal segments are counted as one before they are moved.
 2. Segments whose anchor occurs only once cannot hold a repeated window and end here. Those that occur more than once
    but are all equal are repeated as a whole. The distinct segments of the other anchors are sent with their bytes
    to shards of about SHARD bytes; there the suffix array is induced and its common prefixes tell, with the counts, which
    windows are repeated.
-3. An anchor with more than HOT distinct segments would not fit a shard: windows of such segments are compared by
-   hash, summed over all tasks before and after the shuffle.
+3. An anchor whose distinct segments hold more than HOT bytes is dealt again: they are texts, each counted as often as it
+   occurs, that go through the same steps with anchors of another hash over shorter strings. Windows that differ outside
+   the string they share part ways, level by level, until all anchors fit.
 4. Repeated windows of each distinct segment go back to all its places, and each text drops the bytes they cover.
 
-Hashes have 64 bits. Cases: a null text is empty; texts below WIDTH bytes and empty ones keep all bytes; very long texts
-are read in slices; repeated rows are texts of their own, so they remove each other; ids may be null or repeated; an empty
-table gives no rows; further columns pass through ``strip_repeats``.
+A long run of one byte, or of few, is cut into pieces that are mostly equal, so it counts as few segments. Anchors and names
+of segments are 64-bit hashes; which windows are equal is decided by the suffix arrays. Cases: a null text is empty; texts
+below WIDTH bytes and empty ones keep all bytes; very long texts are read in slices; repeated rows are texts of their own, so
+they remove each other; ids may be null or repeated; an empty table gives no rows; further columns pass through
+``strip_repeats``.
 """
 
 from __future__ import annotations
@@ -28,16 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import cut, fresh, partitions, table
-from .shingles import prefix_sums, range_hashes
+from .shingles import mix, prefix_sums, range_hashes
 from .suffixes import repeated_windows
 
 WIDTH, KGRAM = 400, 200
 SLICE = 1 << 20
-SHARD = 2 << 20
-HOT = 2048
+PIECE = 512
+SHARD, HOT = 2 << 20, 256 << 10
+LEVELS = 24
 
 SEGMENT = "v long, hs long, s0 int, nw int, again boolean"
 
@@ -51,13 +54,20 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[:n], x[width - w : width - w + n])
 
 
-def _segments(raw: bytes, base: int) -> list[np.ndarray]:
-    span = WIDTH - KGRAM + 1  # k-grams of a window
+def _segments(raw: bytes, base: int, level: int) -> list[np.ndarray]:
+    gram = KGRAM if level == 0 else KGRAM // 2
+    span = WIDTH - gram + 1  # k-grams of a window
     sums = prefix_sums(raw)
-    at = np.arange(len(raw) - KGRAM + 1)
-    grams = range_hashes(sums, at, at + KGRAM)
+    at = np.arange(len(raw) - gram + 1)
+    grams = range_hashes(sums, at, at + gram)
+    if level:
+        grams = mix(grams + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
     least = _sliding(grams, span, np.minimum)
-    starts = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
+    begins = np.concatenate([[0], np.nonzero(least[1:] != least[:-1])[0] + 1])
+    lengths = np.diff(np.append(begins, len(least)))
+    pieces = -(-lengths // PIECE)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = np.repeat(begins, pieces) + nth * PIECE
     ends = np.append(starts[1:], len(least))
     v = least[starts]
     hs = range_hashes(sums, starts, ends - 1 + WIDTH)
@@ -72,35 +82,35 @@ def _segments(raw: bytes, base: int) -> list[np.ndarray]:
     return [v.view(np.int64), hs.view(np.int64), (starts + base).astype(np.int32), (ends - starts).astype(np.int32), hits > 1]
 
 
-def segments(text: str | None) -> list[np.ndarray] | None:
+def segments(raw: bytes, level: int = 0) -> list[np.ndarray] | None:
     """v (anchor), hs (hash of the bytes), s0, nw (first window and number of windows), again (may repeat within)."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
     if len(raw) < WIDTH:
         return None
     last = len(raw) - WIDTH
-    parts = [_segments(raw[i : min(i + SLICE, last + 1) + WIDTH - 1], i) for i in range(0, last + 1, SLICE)]
+    parts = [_segments(raw[i : min(i + SLICE, last + 1) + WIDTH - 1], i, level) for i in range(0, last + 1, SLICE)]
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """dk, text: rows with equal id and text share a key and a fate."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("dk"), "text")
+    """dk, raw, c: rows with equal id and text share a key and a fate; each counts once."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("dk"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.lit(1).cast("long").alias("c"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """dk and the segments as packed columns, one row per text that has any."""
+def measured(texts: DataFrame, level: int) -> DataFrame:
+    """dk, c and the segments as packed columns, one row per text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, packed = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (s := segments(t)) is not None:
+            keys, counts, packed = [], [], []
+            for k, raw, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if (s := segments(raw, level)) is not None:
                     keys.append(k)
-                    packed.append([c.tobytes() for c in s])
+                    counts.append(c)
+                    packed.append([x.tobytes() for x in s])
             cols = list(zip(*packed, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], ["dk", "v", "hs", "s0", "nw", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), *[pa.array(x, pa.binary()) for x in cols]], ["dk", "c", "v", "hs", "s0", "nw", "again"])
 
-    return _keyed(docs).mapInArrow(run, "dk long, v binary, hs binary, s0 binary, nw binary, again binary")
+    return texts.select("dk", "raw", "c").mapInArrow(run, "dk long, c long, v binary, hs binary, s0 binary, nw binary, again binary")
 
 
 _KINDS = (("v", np.int64), ("hs", np.int64), ("s0", np.int32), ("nw", np.int32), ("again", np.bool_))
@@ -109,12 +119,12 @@ _KINDS = (("v", np.int64), ("hs", np.int64), ("s0", np.int32), ("nw", np.int32),
 def unpacked(packed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = [np.frombuffer(b"".join(b.column(i + 1).to_pylist()), k) for i, (_, k) in enumerate(_KINDS)]
-            counts = [len(x) // 8 for x in b.column(1).to_pylist()]
-            keys = np.repeat(b.column(0).to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(c) for c in cols]], ["dk", *[m for m, _ in _KINDS]])
+            cols = [np.frombuffer(b"".join(b.column(i + 2).to_pylist()), k) for i, (_, k) in enumerate(_KINDS)]
+            each = [len(x) // 8 for x in b.column(2).to_pylist()]
+            keys, counts = (np.repeat(b.column(i).to_numpy(), each) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), *[pa.array(c) for c in cols]], ["dk", "c", *[m for m, _ in _KINDS]])
 
-    return packed.mapInArrow(run, f"dk long, {SEGMENT}")
+    return packed.mapInArrow(run, f"dk long, c long, {SEGMENT}")
 
 
 def _ranges(mask: np.ndarray) -> bytes:
@@ -140,65 +150,53 @@ def _shard(t: pa.Table) -> pa.Table:
     return pa.table({"v": rows.column("v"), "hs": rows.column("hs"), "ranges": pa.array(out, pa.binary())})
 
 
-def _by_hash(sent: DataFrame) -> DataFrame:
-    """The same for segments of hot anchors, each window by its hash."""
+def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
+    """(dk, found): for each of the texts (dk, raw, c) with repeated windows its list of (s0, nw, ranges of windows from s0; null: all)."""
+    spark = texts.sparkSession
+    packed = cut(measured(texts, level))
+    same = cut(unpacked(packed).groupBy("v", "hs").agg(F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("dk", "s0", "nw")).alias("rep")))
+    size = F.col("rep.nw") + (WIDTH - 1)
+    anchors = same.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size).alias("bytes"), F.max("again").alias("again"), F.max("c").alias("most"))
+    # an anchor of one segment that occurs once and holds the anchor once repeats nothing
+    live = anchors.where("most > 1 or kinds > 1 or again").select("v", F.expr("kinds > 1 or again").alias("search"), "bytes")
+    kept = cut(same.join(live, "v").select("v", "hs", "c", "search", "bytes", "rep.dk", "rep.s0", "rep.nw"))
+    hot = F.col("search") & (F.col("bytes") > HOT) & F.lit(level < LEVELS)
+    total = kept.where(F.col("search") & ~hot).agg(F.sum(F.col("nw") + WIDTH)).first()[0] or 0
+    shards = max(1, math.ceil(total / SHARD), min(partitions(spark), math.ceil(16 * total / SHARD)))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for v, hs, c, raw in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
-                at = np.arange(len(raw) - WIDTH + 1)
-                h = range_hashes(prefix_sums(raw), at, at + WIDTH).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), v)), pa.array(np.full(len(h), hs)), pa.array(at.astype(np.int32)), pa.array(h), pa.array(np.full(len(h), c))], ["v", "hs", "at", "wh", "c"])
-
-    spread = sent.select("v", "hs", "c", "raw").mapInArrow(windows, "v long, hs long, at int, wh long, c long").dropDuplicates(["v", "hs", "at"])
-    twice = spread.groupBy("wh").agg(F.sum("c").alias("n")).where("n > 1").select("wh")
-
-    def pack(t: pa.Table) -> pa.Table:
-        at = np.sort(t.column("at").to_numpy())
-        mask = np.zeros(int(at.max()) + 1, bool)
-        mask[at] = True
-        return pa.table({"v": t.column("v").slice(0, 1), "hs": t.column("hs").slice(0, 1), "ranges": pa.array([_ranges(mask)], pa.binary())})
-
-    return spread.join(twice, "wh").select("v", "hs", "at").groupBy("v", "hs").applyInArrow(pack, "v long, hs long, ranges binary")
-
-
-def repeats(docs: DataFrame) -> DataFrame:
-    """(dk, found): for each text with repeated windows its list of (s0, ranges of windows from there)."""
-    spark = docs.sparkSession
-    packed = cut(measured(docs))
-    same = unpacked(packed).groupBy("v", "hs").agg(
-        F.count(F.lit(1)).alias("c"), F.max("again").alias("again"), F.min(F.struct("dk", "s0", "nw")).alias("rep")
-    )
-    by_anchor = W.partitionBy("v")
-    counted = same.withColumns({"kinds": F.count(F.lit(1)).over(by_anchor), "twice": F.max("again").over(by_anchor)})
-    kept = cut(
-        counted.where("c > 1 or kinds > 1 or twice").select("v", "hs", "c", "kinds", F.expr("kinds > 1 or twice").alias("search"), "rep.dk", "rep.s0", "rep.nw")
-    )
-    size = kept.where(f"search and kinds <= {HOT}").agg(F.sum(F.col("nw") + WIDTH)).first()[0] or 0
-    shards = max(1, math.ceil(size / SHARD), min(partitions(spark), math.ceil(16 * size / SHARD)))
-
-    wanted = kept.where("search").groupBy("dk").agg(F.collect_list(F.struct("v", "hs", "c", "kinds", "s0", "nw")).alias("parts"))
+    wanted = kept.where("search").groupBy("dk").agg(F.collect_list(F.struct("v", "hs", "c", hot.cast("int").alias("hot"), "s0", "nw")).alias("parts"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for text, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                cols = [[p[x] for p in parts] for x in ("v", "hs", "c", "kinds")]
+            for raw, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cols = [[p[x] for p in parts] for x in ("v", "hs", "c", "hot")]
                 bytes_of = [raw[p["s0"] : p["s0"] + p["nw"] - 1 + WIDTH] for p in parts]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(bytes_of, pa.binary())], ["v", "hs", "c", "kinds", "raw"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(bytes_of, pa.binary())], ["v", "hs", "c", "hot", "raw"])
 
-    sent = _keyed(docs).join(wanted, "dk").select("text", "parts").mapInArrow(slices, "v long, hs long, c long, kinds long, raw binary")
-    dealt = sent.where(F.col("kinds") <= HOT).withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "v"), F.lit(shards)))
+    sent = texts.select("dk", "raw").join(wanted, "dk").select("raw", "parts").mapInArrow(slices, "v long, hs long, c long, hot long, raw binary")
+    dealt = sent.where("hot = 0").withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "v"), F.lit(shards)))
     found = dealt.groupBy("shard").applyInArrow(_shard, "v long, hs long, ranges binary")
     whole = kept.where("not search").select("v", "hs", F.lit(None).cast("binary").alias("ranges"))
     result = found.unionByName(whole)
-    if kept.where(f"search and kinds > {HOT}").limit(1).count():
-        result = result.unionByName(_by_hash(sent.where(F.col("kinds") > HOT)))
+    if kept.where(hot).limit(1).count():
+        again = cut(sent.where("hot = 1").groupBy("v", "hs").agg(F.first("c").alias("c"), F.first("raw").alias("raw")))
+        inner = repeats(again.select(F.xxhash64("v", "hs").alias("dk"), "raw", "c"), level + 1)
+        result = result.unionByName(again.select("v", "hs", F.xxhash64("v", "hs").alias("dk")).join(inner, "dk").mapInArrow(_flattened, "v long, hs long, ranges binary"))
     places = unpacked(packed).select("dk", "v", "hs", "s0", "nw").join(result, ["v", "hs"]).where("ranges is null or octet_length(ranges) > 0")
     # rows of equal id and text have the same places; each is listed once
     return places.groupBy("dk").agg(F.collect_set(F.struct("s0", "nw", "ranges")).alias("found"))
 
 
+def _flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows found within a segment (dk, v, hs, found) as stretches of its own."""
+    for b in batches:
+        out = []
+        for found in b.column(3).to_pylist():
+            stretches = sorted((f["s0"] + x, f["s0"] + y) for f in found for x, y in ([(0, f["nw"])] if f["ranges"] is None else np.frombuffer(f["ranges"], "<i4").reshape(-1, 2).tolist()))
+            out.append(np.array(stretches, "<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.binary())], ["v", "hs", "ranges"])
+
+
 def _kept_bytes(raw: bytes, found: list) -> tuple[bytes, int]:
     """(what is left, number of removed stretches)."""
     change = np.zeros(len(raw) + 1, np.int32)
@@ -213,7 +211,7 @@ def _kept_bytes(raw: bytes, found: list) -> tuple[bytes, int]:
 
 def _marked(docs: DataFrame) -> DataFrame:
     dk = fresh(docs, "__dk")
-    found = repeats(docs.select("doc_id", "text")).withColumnsRenamed({"dk": dk, "found": fresh(docs, "__found")})
+    found = repeats(_keyed(docs)).withColumnsRenamed({"dk": dk, "found": fresh(docs, "__found")})
     return docs.withColumn(dk, F.xxhash64("doc_id", "text")).join(found, dk, "left")
 
 

@@ -2,15 +2,15 @@
 
 The induction goes bucket by bucket: all suffixes of a bucket induce their predecessors at once, stably by first byte,
 so the work is linear and only runs of one byte take a step for each of their letters. Leftmost-smaller (LMS) substrings
-are sorted by a first induction and named; the reduced string of names, if some are equal, is ranked by doubling.
+are sorted by a first induction and named; the reduced string of names, if some are equal, is sorted in the same way, level
+by level. Names have an alphabet as large as their string, so below the first level the induction goes suffix by suffix.
+A name that occurs once settles every comparison that reaches it, so of a run of such names only the first is kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .shingles import prefix_sums, range_hashes
-
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one (S-type). The last is larger than the empty suffix."""
@@ -81,20 +81,88 @@ def induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([x for c in range(256) for x in (done[c], ends[c])])
 
 
-def _ranked(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of a string of names, by doubling."""
-    n, rank, h = len(names), names.astype(np.int64) + 1, 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - h)] = rank[h:]
-        key = rank * (rank.max() + 1) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[True], np.diff(key[order]) != 0])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if rank.max() == n:
-            return order
-        h *= 2
+def _named(s: np.ndarray, ordered: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each LMS substring, from ``ordered`` to its end (exclusive), differs from the one before it, by its letters."""
+    new = np.ones(len(ordered), bool)
+    length = ends - ordered
+    alike = np.nonzero(length[1:] == length[:-1])[0] + 1
+    for part in np.array_split(alike, max(1, int(length[alike].sum()) >> 20)):
+        n = length[part]
+        if not len(n):
+            continue
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        step = np.arange(int(n.sum())) - np.repeat(starts, n)
+        same = s[np.repeat(ordered[part], n) + step] == s[np.repeat(ordered[part - 1], n) + step]
+        new[part] = ~np.logical_and.reduceat(same, starts)
+    return new
+
+
+def _sorted_lms(s: np.ndarray, lms: np.ndarray, by_substring: np.ndarray) -> np.ndarray:
+    """The LMS suffixes in order, from any suffix order in which their substrings are sorted."""
+    n = len(s)
+    is_lms = np.zeros(n, bool)
+    is_lms[lms] = True
+    ordered = by_substring[is_lms[by_substring]].astype(np.int64)
+    # an LMS substring reaches to the next LMS position, inclusive; the last one to the end
+    ends = np.full(n + 1, n, np.int64)
+    ends[lms[:-1]] = lms[1:] + 1
+    new = _named(s, ordered, ends[ordered])
+    if new.all():
+        return ordered
+    names = np.empty(n, np.int64)
+    names[ordered] = np.cumsum(new) - 1
+    reduced = names[lms]
+    once = (np.bincount(reduced) == 1)[reduced]
+    kept = np.ones(len(lms), bool)
+    kept[1:] = ~(once[1:] & once[:-1])
+    rank = np.empty(len(lms), np.int64)
+    # names that occur once are in order by name; between equal names the order of the kept suffixes decides
+    shorter = np.unique(reduced[kept], return_inverse=True)[1]
+    within = np.empty(int(kept.sum()), np.int64)
+    within[_suffixes_of_names(shorter)] = np.arange(len(shorter))
+    rank[kept], rank[~kept] = within, 0
+    return lms[np.lexsort((rank, reduced))]
+
+
+def _suffixes_of_names(s: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names 0, 1, ..., by induced sorting, suffix by suffix."""
+    n = len(s)
+    if len(set(s.tolist())) == n:
+        return np.argsort(s, kind="stable")
+    smaller = smaller_types(s)
+    lms = np.nonzero(smaller[1:] & ~smaller[:-1])[0] + 1
+    if len(lms) > 1:
+        lms = _sorted_lms(s, lms, _induced_names(s, smaller, lms))
+    return _induced_names(s, smaller, lms)
+
+
+def _induced_names(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    n, names, kind = len(s), s.tolist(), smaller.tolist()
+    counts = np.bincount(s)
+    ends = np.cumsum(counts)
+    order = [-1] * n
+    tail = ends.tolist()
+    for i in reversed(lms.tolist()):
+        c = names[i]
+        tail[c] -= 1
+        order[tail[c]] = i
+    head = (ends - counts).tolist()
+    order[head[names[n - 1]]] = n - 1  # the last letter's suffix is the least of its bucket's larger ones
+    head[names[n - 1]] += 1
+    for k in range(n):
+        i = order[k] - 1
+        if i >= 0 and not kind[i]:
+            c = names[i]
+            order[head[c]] = i
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        i = order[k] - 1
+        if i >= 0 and kind[i]:
+            c = names[i]
+            tail[c] -= 1
+            order[tail[c]] = i
+    return np.array(order, np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -105,20 +173,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     smaller = smaller_types(s)
     lms = (np.nonzero(smaller[1:] & ~smaller[:-1])[0] + 1).astype(np.int32)
     if len(lms) > 1:
-        by_substring = induce(s, smaller, lms)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        ordered = by_substring[is_lms[by_substring]]
-        # an LMS substring reaches to the next LMS position, inclusive; the last one to the end
-        ends = np.full(n + 1, n, np.int64)
-        ends[lms[:-1]] = lms[1:] + 1
-        hashes = range_hashes(prefix_sums(s.tobytes()), ordered, ends[ordered])
-        lengths = ends[ordered] - ordered
-        new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (lengths[1:] != lengths[:-1])])
-        names = np.empty(n, np.int64)
-        names[ordered] = np.cumsum(new)
-        reduced = names[lms]
-        lms = ordered if new.all() else lms[_ranked(reduced)]
+        lms = _sorted_lms(s, lms, induce(s, smaller, lms))
     return induce(s, smaller, lms.astype(np.int32))
 
 

@@ -102,9 +102,10 @@ def brute_substrings(rows, width=400):
     return out
 
 
-@pytest.mark.parametrize("hot", [2048, 0])
-def test_substrings(spark, awkward, monkeypatch, hot):
+@pytest.mark.parametrize("hot, levels", [(256 << 10, 24), (0, 2)])
+def test_substrings(spark, awkward, monkeypatch, hot, levels):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "LEVELS", levels)
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     assert sorted(rows_of(substrings.removed(awkward)), key=str) == sorted(brute_substrings(rows), key=str)
     assert substrings.removed(awkward.limit(0)).count() == 0
@@ -112,12 +113,28 @@ def test_substrings(spark, awkward, monkeypatch, hot):
     assert substrings.strip_repeats(clash).columns == clash.columns
 
 
+def test_substrings_with_hot_anchors(spark, monkeypatch):
+    """A passage in many contexts, long runs of one and of few bytes, and a text of many slices."""
+    monkeypatch.setattr(substrings, "HOT", 20_000)
+    monkeypatch.setattr(substrings, "SLICE", 5000)
+    rng = random.Random(9)
+    word = lambda k=6: "".join(rng.choices("abcdefghijklmnop", k=k))
+    body = lambda n: " ".join(word() for _ in range(n))
+    passage = body(45)
+    texts = [f"{body(rng.randint(5, 50))} {passage} {body(rng.randint(5, 50))}" for _ in range(60)]
+    texts += [texts[3][100:700], texts[5] + body(20), "a" * 9000, "a" * 700 + body(90), "ab" * 3000, "xyzé" * 1500, body(2500) + passage]
+    docs = docs_of(spark, texts)
+    assert sorted(rows_of(substrings.removed(docs))) == sorted(brute_substrings(list(enumerate(texts))))
+
+
 def test_suffix_arrays():
     rng = random.Random(3)
-    for _ in range(150):
-        raw = bytes(rng.choices(b"abc", k=rng.randint(1, 50))) * rng.randint(1, 3)
+    for _ in range(300):
+        raw = bytes(rng.choices(b"abc"[: rng.randint(1, 3)], k=rng.randint(1, 50))) * rng.randint(1, 4)
         b = np.frombuffer(raw, np.uint8)
         sa = suffixes.suffix_array(b)
+        names = np.unique(b, return_inverse=True)[1]
+        assert suffixes._suffixes_of_names(names).tolist() == sa.tolist()
         assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
         phi, plcp = suffixes.common_prefixes(b, sa)
         for i, j in enumerate(phi):
