@@ -39,7 +39,7 @@ from .suffixes import repeated_windows
 WIDTH, KGRAM = 400, 200
 SLICE = 1 << 20
 PIECE = 512
-SHARD, HOT = 2 << 20, 256 << 10
+SHARD, HOT = 2 << 20, 1 << 20
 LEVELS = 24
 
 SEGMENT = "v long, hs long, s0 int, nw int, again boolean"

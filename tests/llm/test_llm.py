@@ -102,7 +102,7 @@ def brute_substrings(rows, width=400):
     return out
 
 
-@pytest.mark.parametrize("hot, levels", [(256 << 10, 24), (0, 2)])
+@pytest.mark.parametrize("hot, levels", [(1 << 20, 24), (0, 2)])
 def test_substrings(spark, awkward, monkeypatch, hot, levels):
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "LEVELS", levels)
