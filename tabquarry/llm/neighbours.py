@@ -92,7 +92,9 @@ def _nearest(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
         na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
         ua, ub = a / na[:, None], (b / nb[:, None]).T
         own = {u: j for j, u in enumerate(c.column("uid").to_pylist())}
-        cu, ci, qu, qi = c.column("uid").to_numpy(), c.column("vec_id").to_numpy(), q.column("uid").to_numpy(), q.column("vec_id").to_numpy()
+        cu, qu, qi = c.column("uid").to_numpy(), q.column("uid").to_numpy(), q.column("vec_id").to_numpy()
+        named = c.column("vec_id").combine_chunks()
+        ci = named.fill_null(np.iinfo(np.int64).max).to_numpy()  # no id comes last in ties
         step = max(1, TILE // len(b))
         for i in range(0, len(a), step):
             s = ua[i : i + step] @ ub
@@ -109,16 +111,16 @@ def _nearest(q: pa.Table, c: pa.Table, k: int) -> pa.Table:
                 exact = (b[near] * a[i + r]).sum(1) / (nb[near] * na[i + r])
                 best = np.lexsort((cu[near], ci[near], -exact))[:m]
                 near = near[best]
-                out.append((np.full(m, qu[i + r]), np.full(m, qi[i + r]), cu[near], ci[near], exact[best]))
+                out.append((np.full(m, qu[i + r]), np.full(m, qi[i + r]), cu[near], named.take(pa.array(near)), exact[best]))
     names, kinds = ("quid", "query_id", "uid", "vec_id", "score"), (pa.int64(),) * 4 + (pa.float64(),)
-    return pa.table({x: pa.array(np.concatenate([o[n] for o in out]) if out else [], kinds[n]) for n, x in enumerate(names)})
+    return pa.table({x: pa.chunked_array([pa.array(o[n], kinds[n]) for o in out], kinds[n]) for n, x in enumerate(names)})
 
 
 NEAREST = "quid long, query_id long, uid long, vec_id long, score double"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id", "uid")
+    order = W.partitionBy("quid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "uid")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -7,11 +7,12 @@ that holds the kth score becomes the next range, until it is one integer wide. A
 value and, of those equal to it, the smallest ids as far as there is room, which a ranking then settles.
 
 Scores are integers: components x become floor(64 * x), the score is the inner product. Products are exact in double
-precision below 2**53, in 64-bit integers below 2**63; beyond, an error is raised.
+precision below 2**53 and in 64-bit integers below 2**62. A vector whose squared length is beyond that is wide: its products are
+taken in integers of any size, and a score that a long cannot hold becomes the largest or smallest long.
 
-Cases: see ``vectors.numbered``; components of 2**31 or more after scaling also leave the vector out; vectors of
-different length are never compared; repeated rows are rows of their own, also as candidates of each other; fewer than k
-candidates are all returned; an empty table gives no rows; further columns are ignored.
+Cases: see ``vectors.numbered``; vectors of different length are never compared; repeated rows are rows of their own, also as
+candidates of each other; fewer than k candidates are all returned; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import cut, partitions, table
-from .vectors import apart, matrix, numbered
+from .vectors import apart, numbered
 
 SCALE = 64
 BINS = 1024
@@ -33,24 +34,41 @@ QUERY_BLOCK, ROW_BLOCK = 4096, 16384
 TILE = 1 << 22
 
 
-def scaled(x: np.ndarray) -> np.ndarray | None:
-    y = np.floor(x * SCALE)
-    return y if np.abs(y).max() < 2**31 else None
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The scaled vector as 32-bit integers; a wide one as it is, in double precision."""
+    with np.errstate(over="ignore"):
+        y = np.floor(x * SCALE)
+        return y.astype("<i4") if (y * y).sum() < 2.0**62 else x
+
+
+def _wide(v: bytes, dim: int) -> list[int]:
+    if len(v) == 4 * dim:
+        return np.frombuffer(v, "<i4").tolist()
+    return [int(x) * SCALE if abs(x) >= 2.0**53 else math.floor(x * SCALE) for x in np.frombuffer(v, "<f8").tolist()]
 
 
 def _tiles(q: pa.Table, c: pa.Table, dim: int, exact: bool):
-    """(first query of the tile, its scores as floats or integers); a query's own row has the lowest number."""
-    kind = np.float64 if exact else np.int64
-    a, b = matrix(q.column("vec"), "<i4", dim).astype(kind), matrix(c.column("vec"), "<i4", dim).astype(kind).T
+    """(first query of the tile, its scores, what stands for a query's own row: below all scores)."""
+    left, right = q.column("vec").to_pylist(), c.column("vec").to_pylist()
+    large = [[i for i, v in enumerate(side) if len(v) != 4 * dim] for side in (left, right)]
+    kind = np.float64 if exact and not any(large) else np.int64
+    never = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+    zero = bytes(4 * dim)
+    a, b = (np.frombuffer(b"".join(zero if len(v) != 4 * dim else v for v in side), "<i4").reshape(-1, dim).astype(kind) for side in (left, right))
+    b = b.T
     own = {u: j for j, u in enumerate(c.column("uid").to_pylist())}
     uids = q.column("uid").to_pylist()
+    most = np.iinfo(np.int64).max
+    product = lambda v, w: max(-most, min(most, sum(x * y for x, y in zip(v, w, strict=True))))
     step = max(1, TILE // b.shape[1])
     for i in range(0, len(a), step):
         s = a[i : i + step] @ b
-        for r, u in enumerate(uids[i : i + step]):
-            if u in own:
-                s[r, own[u]] = -np.inf if exact else np.iinfo(np.int64).min
-        yield i, s
+        for r in range(len(s)):
+            for j in range(len(right)) if i + r in large[0] else large[1]:
+                s[r, j] = product(_wide(left[i + r], dim), _wide(right[j], dim))
+            if (j := own.get(uids[i + r])) is not None:
+                s[r, j] = never
+        yield i, s, never
 
 
 def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -60,14 +78,13 @@ def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str
 
     def norms(batches):
         for b in batches:
-            n = [float((np.frombuffer(v, "<i4").astype(np.float64) ** 2).sum()) for v in b.column(0).to_pylist()]
+            n = [float((np.frombuffer(v, "<i4").astype(np.float64) ** 2).sum()) if len(v) == 4 * d else 2.0**63 for v, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([max(n, default=0.0)])], ["n"])
 
-    most = rows.select("vec").mapInArrow(norms, "n double").agg(F.max("n")).first()[0] or 0.0
-    bound = math.ceil(most * 1.0001) + 1  # by Cauchy-Schwarz no score is larger
-    if bound >= 2**63:
-        raise OverflowError("scores do not fit 64 bits")
-    exact = bound < 2**53
+    most = rows.select("vec", "dim").mapInArrow(norms, "n double").agg(F.max("n")).first()[0] or 0.0
+    # by Cauchy-Schwarz no score reaches ``bound``, a power of two; so all ranges begin at multiples of their bins' width
+    bound = 1 << min(63, max(9, math.ceil(most * 1.0001).bit_length()))
+    exact = bound <= 2**53
     queries = rows.where(is_query)
     n, n_q = rows.count(), queries.count()
     cols = max(1, math.ceil(n / min(ROW_BLOCK, max(1024, math.ceil(n / partitions(spark))))))
@@ -82,13 +99,13 @@ def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str
     def histogram(q: pa.Table, c: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
         if q.num_rows and c.num_rows:
-            low, width, span = (q.column(x).to_numpy() for x in ("low", "width", "span"))
+            low, width, last = (q.column(x).to_numpy() for x in ("low", "width", "last"))
             uids, needs = q.column("uid").to_numpy(), q.column("need").to_numpy()
-            for i, s in _tiles(q, c, q.column("dim")[0].as_py(), exact):
+            for i, s, never in _tiles(q, c, q.column("dim")[0].as_py(), exact):
                 sl = slice(i, i + len(s))
-                lo, w = low[sl, None], width[sl, None]
-                r, j = np.nonzero((s >= lo) & (s < lo + span[sl, None]))
-                bins = ((s[r, j] - lo[r, 0]) // w[r, 0]).astype(np.int64)
+                lo, w = low[sl], width[sl]
+                r, j = np.nonzero((s >= lo[:, None]) & (s <= last[sl, None]) & (s > never))
+                bins = (s[r, j] // w[r] - lo[r] // w[r]).astype(np.int64)
                 counts = np.bincount(r * BINS + bins, minlength=len(s) * BINS).reshape(len(s), BINS)
                 above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
                 r, j = np.nonzero((counts > 0) & (above < needs[sl, None]))
@@ -96,24 +113,25 @@ def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str
         cols3 = [np.concatenate([o[x] for o in out]) if out else np.zeros(0, np.int64) for x in range(3)]
         return pa.table({"uid": pa.array(cols3[0], pa.int64()), "bin": pa.array(cols3[1], pa.int64()), "n": pa.array(cols3[2], pa.int64())})
 
-    width = max(1, math.ceil((2 * bound + 1) / BINS))
-    state = queries.select("uid", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(width * BINS).cast("long").alias("span"), F.lit(k).cast("long").alias("need"))
+    width = 2 * bound // BINS
+    number = lambda x: F.lit(str(x)).cast("long")
+    state = queries.select("uid", number(-bound).alias("low"), number(width).alias("width"), number(bound - 1).alias("last"), F.lit(k).cast("long").alias("need"))
     down = W.partitionBy("uid").orderBy(F.col("bin").desc())
     while True:
         counts = in_cells(state).applyInArrow(histogram, "uid long, bin long, n long").groupBy("uid", "bin").agg(F.sum("n").alias("n"))
         summed = counts.withColumn("upto", F.sum("n").over(down)).join(state, "uid")
         # the bin in which the count from above reaches what is still needed; the lowest range if it never does
         found = summed.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-        step = max(1, math.ceil(width / BINS))
+        step = max(1, width // BINS)
         moved = found.select(
             "uid", (F.col("low") + F.col("bin") * F.col("width")).alias("to"), (F.col("need") - F.col("upto") + F.col("n")).alias("left")
         )
         state = cut(
             state.join(moved, "uid", "left").select(
                 "uid",
-                F.coalesce("to", F.lit(-bound)).cast("long").alias("low"),
-                F.lit(step).cast("long").alias("width"),
-                F.lit(width).cast("long").alias("span"),
+                F.coalesce("to", number(-bound)).alias("low"),
+                number(step).alias("width"),
+                (F.coalesce("to", number(-bound)) + number(width - 1)).alias("last"),
                 F.coalesce("left", "need").alias("need"),
             )
         )
@@ -125,10 +143,9 @@ def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str
         out: list[tuple[np.ndarray, ...]] = []
         if q.num_rows and c.num_rows:
             c = c.sort_by([("vec_id", "ascending"), ("uid", "ascending")])
-            ids, low, need = c.column("vec_id").to_numpy(), q.column("low").to_numpy(), q.column("need").to_numpy()
+            ids, low, need = c.column("vec_id").combine_chunks(), q.column("low").to_numpy(), q.column("need").to_numpy()
             uids, qids = q.column("uid").to_numpy(), q.column("vec_id").to_numpy()
-            never = -np.inf if exact else np.iinfo(np.int64).min
-            for i, s in _tiles(q, c, q.column("dim")[0].as_py(), exact):
+            for i, s, never in _tiles(q, c, q.column("dim")[0].as_py(), exact):
                 sl = slice(i, i + len(s))
                 r, j = np.nonzero((s >= low[sl, None]) & (s > never))
                 tied = s[r, j] == low[sl][r]
@@ -138,12 +155,12 @@ def top_k(vectors: DataFrame, is_query, k: int, key: str = "vec_id", vector: str
                 nth -= nth[starts[r]] if len(r) else 0
                 keep = ~tied | (nth < need[sl][r])
                 r, j = r[keep], j[keep]
-                out.append((uids[sl][r], qids[sl][r], ids[j], s[r, j].astype(np.int64)))
+                out.append((uids[sl][r], qids[sl][r], ids.take(pa.array(j)), s[r, j].astype(np.int64)))
         names = ("quid", "query_id", "vec_id", "score")
-        return pa.table({m: pa.array(np.concatenate([o[x] for o in out]) if out else np.zeros(0, np.int64), pa.int64()) for x, m in enumerate(names)})
+        return pa.table({m: pa.chunked_array([pa.array(o[x], pa.int64()) for o in out], pa.int64()) for x, m in enumerate(names)})
 
     kept = in_cells(state).applyInArrow(emit, "quid long, query_id long, vec_id long, score long")
-    best = W.partitionBy("quid").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("quid").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -155,9 +172,9 @@ QUERIES = {"op4_topk": op4_topk}
 ORACLE = {
     "op4_topk": """
 with v as (select row_number() over () as uid, vec_id::bigint as vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as e from embeddings
-  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null),
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.uid, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on q.uid <> c.uid and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
-r as (select *, row_number() over (partition by uid order by score desc, vec_id)::int as rank from s)
+r as (select *, row_number() over (partition by uid order by score desc, vec_id nulls last)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
 }

@@ -15,22 +15,23 @@ from .common import cut
 def numbered(vectors: DataFrame, key: str, vector: str, kind: str, check) -> DataFrame:
     """(uid, vec_id, dim, vec): vectors as little-endian ``kind`` in binary, without those ``check`` refuses.
 
-    Rows without an id or vector, and vectors that hold a null or a number that is not finite, are left out. The row
-    number is fixed by a checkpoint, so that repeated rows stay apart and reruns agree.
+    Null and empty vectors, and those that hold a null or a number that is not finite, are left out; a row without an id
+    stays, as candidate alone, and comes after all ids in ties. The row number is fixed by a checkpoint, so that repeated
+    rows stay apart and reruns agree. ``check`` gives the numbers to keep, of ``kind`` or wider.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uids, ids, dims, out = [], [], [], []
             for u, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if i is None or not v.is_valid or v.values.null_count or not len(v.values):
+                if not v.is_valid or v.values.null_count or not len(v.values):
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(x).all() and (y := check(x)) is not None:
                     uids.append(u)
                     ids.append(i)
                     dims.append(len(y))
-                    out.append(y.astype(kind).tobytes())
+                    out.append((y if y.itemsize > np.dtype(kind).itemsize else y.astype(kind)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["uid", "vec_id", "dim", "vec"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vec"))

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -156,13 +157,20 @@ def vectors(spark, n=300, dim=6, seed=2):
 
 def test_topk(spark):
     df, rows = vectors(spark)
-    ok = [(i, j, [math.floor(64 * x) for x in v]) for j, (i, v, _) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    want = []
-    for i, j, v in ok:
-        if i % 20 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, m, w in ok if m != j)[:20]
-            want += [(i, r + 1, k, -s) for r, (s, k) in enumerate(found)]
-    assert sorted(rows_of(topk.top_k(df, F.col("vec_id") % 20 == 0, 20))) == sorted(want)
+    def plain(rows):
+        ok = [(i, j, [math.floor(64 * Fraction(x)) for x in v]) for j, (i, v, _) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+        for i, j, v in ok:
+            if i is not None and i % 20 == 0:
+                score = lambda w: max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True))))  # noqa: B023, E731
+                found = sorted((-score(w), k is None, k or 0, k) for k, m, w in ok if m != j)[:20]
+                yield from ((i, r + 1, f[3], -f[0]) for r, f in enumerate(found))
+
+    assert sorted(rows_of(topk.top_k(df, F.col("vec_id") % 20 == 0, 20)), key=str) == sorted(plain(rows), key=str)
+    # components beyond 32 bits, beyond 64 bits, and scores beyond them; a row without an id
+    far = [[4e7, 1.0], [1.0, 1.0], [3e17, -2.5], [-3e17, 0.25], [1e300, 0.0], [1.7e308, -1e308], [0.0, 0.5], [2.0**31, 2.0**31]]
+    far = [(20 * i if i < 6 else None, v, "x") for i, v in enumerate(far)]
+    wide = spark.createDataFrame(far, "vec_id long, embedding array<double>, query_id string")
+    assert sorted(rows_of(topk.top_k(wide, F.col("vec_id") % 20 == 0, 20)), key=str) == sorted(plain(far), key=str)
     few = df.where("vec_id < 5")
     assert topk.top_k(few, F.col("vec_id") == 0, 20).count() == 4
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0, 20).count() == 0
@@ -170,13 +178,13 @@ def test_topk(spark):
 
 def test_neighbours(spark):
     df, rows = vectors(spark, 400)
-    ok = [(i, j, np.array(v)) for j, (i, v, _) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    ok = [(i, j, np.array(v)) for j, (i, v, _) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     found, hit, total = neighbours.nearest(df, F.col("vec_id") % 50 == 0, 5).collect(), 0, 0
     by: dict = {}
     for r in found:
         by.setdefault(r["query_id"], []).append(r["score"])
     for i, j, v in ok:
-        if i % 50 == 0:
+        if i is not None and i % 50 == 0:
             best = sorted((w @ v / math.sqrt((w @ w) * (v @ v)) for _, m, w in ok if m != j), reverse=True)[:5]
             hit += sum(s >= best[-1] - 1e-12 for s in by[i])
             total += 5
