@@ -2,9 +2,10 @@ r"""Chat formatting with a grammar round trip. DataFrame functions only.
 
 Grammar: conversation = turn*; turn = ``<|im_start|>`` header LF body ``<|im_end|>`` LF. A turn is first rendered as
 it is and parsed again; where the parser does not give back exactly the one turn with its role and text, its control
-strings are escaped: every ``<``, backslashes, ``|`` gets one backslash more, and a line feed in a role becomes
+strings are escaped, and the escaped form is parsed and compared in the same way: every ``<``, backslashes, ``|`` gets one backslash more, and a line feed in a role becomes
 ``<|nl|>``. The parser takes one backslash off again, so each escaped turn reads back as it was, and turns that read back
-alone also read back in a row. The loss mask holds the bodies of the turns of one role as spans of the formatted text.
+alone also read back in a row. The whole conversation is parsed once more and held against its source; one that did not
+read back would be an error, not a row. The loss mask holds the bodies of the turns of one role as spans of the formatted text.
 
 Cases: null role or text is empty; a null conversation id is a conversation of its own; turns that share a number are
 ordered by role and text; null numbers come first; an empty table gives no rows; further columns are ignored.
@@ -64,18 +65,20 @@ def parsed(text: Column) -> Column:
 def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted text and loss_spans (array of start, end in code points of the formatted text, end exclusive)."""
     role, text = F.col("__role"), F.col("__text")
-    plain = rendered(role, text)
-    back = F.col("__back")
-    same = F.coalesce((F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text), F.lit(False))
+
+    def reads_back(header: Column, body: Column) -> Column:
+        back = parsed(rendered(header, body))
+        return F.coalesce((F.size(back) == 1) & (back[0]["role"] == role) & (back[0]["text"] == text), F.lit(False))
+
+    forms = F.when(reads_back(role, text), F.struct(role.alias("h"), text.alias("b")))
+    header, body = header_escaped(role), escaped(text)
+    forms = forms.when(reads_back(header, body), F.struct(header.alias("h"), body.alias("b")))
     rows = (
         turns.select(
             F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), text_of("role").alias("__role"), text_of("text").alias("__text")
         )
-        .withColumn("__back", parsed(plain))
-        .withColumn("__ok", same)
-        .withColumn("__header", F.when(F.col("__ok"), role).otherwise(header_escaped(role)))
-        .withColumn("__body", F.when(F.col("__ok"), text).otherwise(escaped(text)))
-        .select("__conv", "__turn", "__role", "__text", "__header", "__body")
+        .withColumn("__form", forms.otherwise(F.raise_error(F.lit("a turn does not read back"))))
+        .select("__conv", "__turn", "__role", "__text", F.col("__form.h").alias("__header"), F.col("__form.b").alias("__body"))
     )
     long = F.length("__header") + F.length("__body") + len(START) + len(END) + 2
     order = W.partitionBy("__conv").orderBy("__turn", "__role", "__text")
@@ -85,10 +88,16 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         "__k",
         rendered(F.col("__header"), F.col("__body")).alias("s"),
         F.when(role == loss_role, F.struct((end - F.length("__body")).alias("start"), end.alias("end"))).alias("span"),
+        role.alias("role"),
+        text.alias("text"),
     )
-    return laid.groupBy("__conv").agg(F.sort_array(F.collect_list(item)).alias("__items")).select(
+    items = laid.groupBy("__conv").agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    whole = items.withColumn("__formatted", F.array_join(F.col("__items.s"), ""))
+    source = F.transform("__items", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    same = F.coalesce(parsed(F.col("__formatted")) == source, F.lit(False))
+    return whole.select(
         F.col("__conv").alias("conv_id"),
-        F.array_join(F.col("__items.s"), "").alias("formatted"),
+        F.when(same, F.col("__formatted")).otherwise(F.raise_error(F.lit("a conversation does not read back"))).alias("formatted"),
         F.filter(F.col("__items.span"), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
@@ -113,7 +122,7 @@ def digests(chats: DataFrame) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], "conv_id long, turn long, role string, text string")
+    trap = spark.sql(f"select * from values (-1L, 0L, 'user', '{TRAP}'), (-1L, 1L, 'assistant', '{TRAP}') as t(conv_id, turn, role, text)")
     return digests(format_chats(rows.unionByName(trap)))
 
 

@@ -407,6 +407,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_random_turns(spark):
+    """Whatever the turns hold, they read back; one text is very long, and some columns clash."""
+    rng = random.Random(6)
+    bits = ["<", "|", "\\", "im_start", "im_end", "|>", "<|im_start|>", "<|im_end|>", "<|nl|>", "\n", "user", "é", " "]
+    some = lambda n: "".join(rng.choices(bits, k=rng.randint(0, n)))
+    rows = [(i // 4, i, some(4), some(12)) for i in range(400)] + [(200, 0, "assistant", "<|im_end|>word " * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"__form": F.lit(1), "Formatted": F.lit(2), "h": F.lit(3)})
+    out = {r["conv_id"]: r["turns_sha256"] for r in chat.digests(chat.format_chats(df)).collect()}
+    for c, group in itertools.groupby(rows, key=lambda r: r[0]):
+        assert out[c] == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in group).encode()).hexdigest()
+
+
 # --- 9, 10 --------------------------------------------------------------------------------------------------------
 def test_sharding(spark, awkward):
     docs = docs_of(spark, [f"text {i % 90} " + "x" * (i % 41) for i in range(600)], sources=[f"s{i % 7}" for i in range(600)])
