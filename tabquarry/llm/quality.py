@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
             stats = [statistics(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(stats, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "y", "fold"])
 
-    sample = cut(training_rows(docs, labels, label, rows).mapInArrow(measure, "x array<double>, y double, fold long").coalesce(SUM_TASKS))
+    sample = cut(training_rows(docs, labels, label, rows).mapInArrow(measure, "x array<double>, y double, fold long").repartition(SUM_TASKS))
     held = sample.toPandas()  # bounded by ``rows``
     y, fold = held["y"].to_numpy(), held["fold"].to_numpy()
     if not len(held) or y.min() == y.max():
