@@ -1,7 +1,7 @@
 """Sharding by a k-d tree: weighted medians along the widest metadata dimension until leaves have the target bytes.
 
 Law ``bytes``: shards get near equal sizes. The unit is the group of equal texts, which stays together; only a group
-larger than a shard's target is cut into slices by hash of the id. Dimensions of a group: size, source, language (the
+larger than a shard's target is cut into slices by hash of the id and of the row, so that repeated rows spread too. Dimensions of a group: size, source, language (the
 smallest of its rows, spread over a fixed range by checksum) and content hash. A node that still stands for several
 shards is split along the dimension of largest extent at the weighted quantile that matches its shards; the quantile is
 located exactly by histograms summed in Spark and narrowed pass by pass, for all nodes of a level at once. Groups that
@@ -43,7 +43,7 @@ def groups_of(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
         docs.select(
             "doc_id", F.col("source").alias("source"), F.col("lang").alias("lang"),
             (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-            F.xxhash64(raw).alias("g1"), F.hash(raw).alias("g2"),
+            F.xxhash64(raw).alias("g1"), F.hash(raw).alias("g2"), F.monotonically_increasing_id().alias("rid"),
         )
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -53,7 +53,7 @@ def groups_of(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame, int]:
     slices = whole.withColumn("slices", F.when(F.col("n") * F.col("size") > max(1, total // shards), F.ceil(F.col("n") * F.col("size") / piece)).otherwise(1))
     cut_ones = slices.where("slices > 1").select("g1", "g2", "size", "slices")
     keyed = rows.join(F.broadcast(cut_ones), ["g1", "g2", "size"], "left")  # fewer than ``shards`` groups exceed total / shards
-    keyed = keyed.withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.xxhash64("doc_id"), F.col("slices"))).otherwise(0)).drop("slices")
+    keyed = keyed.withColumn("slice", F.when(F.col("slices") > 1, F.pmod(F.xxhash64("doc_id", "rid"), F.col("slices"))).otherwise(0)).drop("slices")
     groups = keyed.groupBy("g1", "g2", "size", "slice").agg(
         F.sum("size").alias("w"), F.min(F.coalesce("source", F.lit(""))).alias("source"), F.min(F.coalesce("lang", F.lit(""))).alias("lang")
     )
@@ -83,7 +83,7 @@ def _quantiles(light: DataFrame, wanted: dict[int, int]) -> dict[int, int]:
     while bits > 0 and left:
         shift = max(0, bits - STEP)
         at = spark.createDataFrame([(a, low[a], w) for a, w in left.items()], "a int, low long, need long")
-        inside = light.join(at, "a").where((F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + (1 << bits)))
+        inside = light.join(F.broadcast(at), "a").where((F.col("z") >= F.col("low")) & (F.col("z") < F.col("low") + (1 << bits)))  # a row per node
         counts = inside.groupBy("a", "need", F.shiftright(F.col("z") - F.col("low"), shift).alias("bin")).agg(F.sum("w").alias("w"))
         summed = counts.withColumn("upto", F.sum("w").over(W.partitionBy("a").orderBy("bin")))
         found = summed.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("w") < F.col("need"))).collect()  # a row per node
@@ -129,7 +129,7 @@ def tree(groups: DataFrame, shards: int) -> DataFrame:
         value = F.coalesce(*[F.when(F.col("dim") == d, F.col(d)) for d in DIMENSIONS])
         totals = open_ones.groupBy("a", "b").agg(F.sum("w").alias("all"))
         laid = (
-            open_ones.join(picks, "a").join(totals, ["a", "b"])
+            open_ones.join(F.broadcast(picks), "a").join(F.broadcast(totals), ["a", "b"])
             .withColumn("z", value * F.lit(1 << 31) + F.col("tie"))
             .withColumn("heavy", F.col("w") * HEAVY > F.col("all"))
         )
@@ -152,7 +152,8 @@ def tree(groups: DataFrame, shards: int) -> DataFrame:
         borders = _quantiles(light, wanted)
         cuts = spark.createDataFrame([(a, (a + sums[a]["b"]) // 2, z) for a, z in borders.items()], "a int, mid int, border long")
         left_heavy = spark.createDataFrame([(int(x.split("|")[0]), x.split("|")[1]) for x in sorted(lefts)], "a int, id string").withColumn("goes", F.lit(True))
-        placed = laid.withColumn("id", ident).join(cuts, "a").join(left_heavy, ["a", "id"], "left")
+        # a row per node, and fewer than HEAVY per node
+        placed = laid.withColumn("id", ident).join(F.broadcast(cuts), "a").join(F.broadcast(left_heavy), ["a", "id"], "left")
         left_side = F.when(F.col("heavy"), F.coalesce("goes", F.lit(False))).otherwise(F.col("z") <= F.col("border"))
         moved = placed.select(*groups.columns, F.when(left_side, F.col("a")).otherwise(F.col("mid")).alias("a"), F.when(left_side, F.col("mid")).otherwise(F.col("b")).alias("b"))
         nodes = moved.unionByName(nodes.where(F.col("b") - F.col("a") <= 1))
@@ -163,12 +164,12 @@ def tree(groups: DataFrame, shards: int) -> DataFrame:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     rows, groups, _ = groups_of(docs, shards)
-    placed = rows.join(tree(groups, shards), ["g1", "g2", "size", "slice"]).select("doc_id", "size", "text_crc32", "shard")
+    placed = rows.join(tree(groups, shards), ["g1", "g2", "size", "slice"]).select("doc_id", "rid", "size", "text_crc32", "shard")
     n = rows.count()
-    placed = placed.withColumn("__b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(max(16, n // SLOT_ROWS))))
+    placed = placed.withColumn("__b", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(max(16, n // SLOT_ROWS))))
     counts = placed.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = counts.withColumn("__start", F.sum("__n").over(W.partitionBy("shard").orderBy("__b")) - F.col("__n")).drop("__n")
-    row = F.row_number().over(W.partitionBy("shard", "__b").orderBy("doc_id", "text_crc32", "size")) - 1
+    row = F.row_number().over(W.partitionBy("shard", "__b").orderBy("doc_id", "text_crc32", "size", "rid")) - 1
     return placed.join(starts, ["shard", "__b"]).select("doc_id", "size", "text_crc32", "shard", (F.col("__start") + row).alias("slot"))
 
 
