@@ -26,8 +26,10 @@ def word_count(col: str | Column = "text") -> Column:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's shared folder; only where none is set (local tests) make one."""
+    """Use the session's shared folder; only where none is set and all runs in one process (local tests) make one."""
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabquarry-"))
 
 

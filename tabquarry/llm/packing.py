@@ -2,14 +2,15 @@
 
 A document's ids are its tokens and one end id. It is cut into pieces of the capacity and a rest; a full piece fills a
 sequence of its own, rests are packed with other rests. Groups are drawn by a hash of the document's id (and of how
-often that id has been seen in the task, so that many rows of one id spread), hold a bounded number of pieces on
-average and are packed independently, so that no state is shared between tasks. Inside a group the pieces go by falling
+often that id has been seen lately in the task, so that many rows of one id spread) and of the piece's place, hold at most
+``GROUP_PIECES`` pieces on average, however long documents are, and are packed independently, so that no state is shared
+between tasks. Inside a group the pieces go by falling
 length to the first bin that has room; the tournament tree over the bins' free capacities finds it in log(bins).
 
-Tokens never leave the task that made them: pieces carry start, length and checksum. ``sequence_ids`` gives the ids
-of each piece too, for writers.
+Pieces carry start, length and checksum; ``with_ids`` gives the ids of each piece too, for writers.
 
-Cases: null or empty text is the end id alone; repeated rows are packed each; a null id is kept; empty table: no rows.
+Cases: null or empty text is the end id alone; repeated rows are packed each; a null id is kept; further columns, also of
+clashing names, are ignored; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ CAPACITY = 2048
 END_ID = 1
 GROUP_PIECES = 4096
 CACHE_WORDS = 800_000
+SEEN_IDS = 200_000
 TOKENIZER = "word_bpe_49k.json"
 SEED = 29
 
@@ -172,9 +173,11 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
+                if len(seen) > SEEN_IDS:
+                    seen.clear()
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 rows: list[tuple] = []
-                held: list = []
+                held: list[np.ndarray] = []
                 for d, toks in zip(ids, words.encode(texts), strict=True):
                     n = len(toks) + 1
                     nth = seen[d] = seen.get(d, -1) + 1
@@ -183,37 +186,36 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bo
                         if s + capacity >= n:
                             piece = np.append(piece, np.uint32(END_ID)).astype("<u4")
                         rows.append((d, nth, s, len(piece), zlib.crc32(piece.tobytes()), n))
-                        held.append(piece.tolist() if with_ids else None)
-                cols = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols] + ([pa.array(held, pa.list_(pa.int64()))] if with_ids else [])
+                        held.append(piece)
+                arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum([len(p) for p in held])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "nth", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 
-    schema = "doc_id long, nth long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, nth long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, seed: int = SEED, rows: int | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
-
-    ``rows``: the number of documents, if known; it sets the number of groups.
-    """
-    n = docs.count() if rows is None else rows
-    groups = max(1, round(2 * n / GROUP_PIECES))
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, seed: int = SEED, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]."""
+    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a token has a byte at least, so there are no more pieces than this
+    groups = max(1, -(-(2 * n + size // capacity) // GROUP_PIECES))
     pieces = pieces_of(docs, path or tokenizer_path(), capacity, with_ids)
-    grouped = pieces.withColumn("__g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "nth", F.floor(F.col("start") / (64 * capacity))), F.lit(groups)))
+    grouped = pieces.withColumn("__g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "nth", F.floor(F.col("start") / (16 * capacity))), F.lit(groups)))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "nth", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-        placed = first_fit_decreasing(pdf["length"].tolist(), capacity)
-        base = int(pdf["__g"].iloc[0]) << 32
-        out = pdf[cols + ["ids"] * with_ids].copy()
-        out.insert(len(cols), "sequence_id", [base + b for b, _ in placed])
-        out.insert(len(cols) + 1, "offset", [o for _, o in placed])
-        return out
-
-    schema = ", ".join(f"{c} long" for c in [*cols, "sequence_id", "offset"]) + ", ids array<long>" * with_ids
-    return grouped.groupBy("__g").applyInPandas(group, schema)
+    def group(t: pa.Table) -> pa.Table:
+        of = lambda c: t.column(c).combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy()
+        t = t.take(pa.array(np.lexsort((of("ids_crc32"), of("start"), of("nth"), of("doc_id"), -of("length")))))
+        placed = np.array(first_fit_decreasing(t.column("length").to_pylist(), capacity), np.int64)
+        placed[:, 0] += t.column("__g")[0].as_py() << 32
+        out = t.select(cols).append_column("sequence_id", pa.array(placed[:, 0])).append_column("offset", pa.array(placed[:, 1]))
+        return out.append_column("ids", t.column("ids")) if with_ids else out
+
+    schema = ", ".join(f"{c} long" for c in [*cols, "sequence_id", "offset"]) + ", ids array<int>" * with_ids
+    return grouped.groupBy("__g").applyInArrow(group, schema)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -444,6 +444,16 @@ def test_packing(spark, awkward):
     assert packing.pack(awkward.limit(0)).count() == 0
 
 
+def test_packing_long_and_repeated_rows(spark, monkeypatch):
+    """One very long text, rows that repeat whole, clashing columns: each id lies in one piece, and groups stay bounded."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 16)
+    docs = docs_of(spark, ["word " * 90_000, *["the same text"] * 200, None, "x"], ids=[1, *[2] * 200, 3, None]).withColumns({"Length": F.lit(1), "__g": F.lit(0)})
+    out = packing.pack(docs).toPandas()
+    assert out[out["doc_id"] == 1]["start"].tolist() and out[out["doc_id"] == 1]["length"].sum() == 90_001
+    assert (out["doc_id"] == 2).sum() == 200 and out["doc_id"].isna().sum() == 1
+    assert out["sequence_id"].floordiv(1 << 32).value_counts().max() < 64
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     lengths = [rng.randint(1, 100) for _ in range(300)]
@@ -459,20 +469,90 @@ def test_first_fit_decreasing():
 
 
 # --- all ----------------------------------------------------------------------------------------------------------
-def test_pipeline(spark):
+def plain_mix(rows, size, source):
+    """Copies of each row: targets by sharing out again and again, then one draw along the order."""
+    sizes: dict = {}
+    for r in rows:
+        sizes[r[source]] = sizes.get(r[source], 0) + size(r)
+    names = sorted(sizes, key=lambda n: (n is None, n or ""))
+    weight, target, free = {n: i % 3 + 1 for i, n in enumerate(names)}, {}, set(names)
+    while free:
+        left = sum(sizes.values()) - sum(target.values())
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] >= 3 * sizes[n]}
+        target.update({n: 3 * sizes[n] for n in over} or share)
+        free = free - over if over else set()
+    out = []
+    for n in names:
+        def place(r):
+            z = size(r)
+            return len(f"{z:b}") * 16 + (z >> max(0, len(f"{z:b}") - 4)), hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), z
+
+        rate = target[n] / sizes[n] if sizes[n] else 0.0
+        for k, r in enumerate(sorted((r for r in rows if r[source] == n), key=place), 1):
+            out += [r] * int(math.floor(k * rate + mixing.offset()) - math.floor((k - 1) * rate + mixing.offset()))
+    return out
+
+
+def test_pipeline_against_plain_python(spark):
+    """Each stage's whole rows from its predecessor's, by plain Python; the classifier's scores come from its model."""
+    import corpus_pipeline as cp
+
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    rows = docs.collect()
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, DIR)
+        if name == "quality":
+            scores = model.score(np.array([quality.statistics(r["text"]) for r in rows]))
+            rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
+        elif name == "near_duplicates":
+            rows.sort(key=lambda r: r["doc_id"])
+            linked = plain_components([r["text"] for r in rows])
+            rows = [r for i, r in enumerate(rows) if linked[i][1] == i]
+        elif name == "personal_data":
+            terms = plain_disclosures([r["text"] for r in rows])
+            texts = [pii.cleaned(r["text"], terms) for r in rows]
+            rows = [type(r)(**(r.asDict() | {"text": t, "n_chars": len(t)})) for r, t in zip(rows, texts, strict=True)]
+        else:
+            rows = plain_mix(rows, lambda r: len(WORD.findall(r["text"])), "source")
+        assert order(got.collect()) == order(rows), name
+        docs = spark.createDataFrame(rows, docs.schema)
+    out = cp.run(spark, DIR).collect()
+    tok = packing.WordTokenizer(packing.tokenizer_path()).tokenizer
+    want = sorted((r["doc_id"], [*tok.encode(r["text"], add_special_tokens=False).ids, 1]) for r in rows)
+    found: dict = {}
+    for r in out:
+        assert r["length"] == len(r["ids"]) <= 2048 and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        found.setdefault((r["doc_id"], r["start"]), []).append(r["ids"])
+    whole: dict = {}
+    for (d, s), pieces in sorted(found.items()):
+        assert all(p == pieces[0] for p in pieces) and s == len(whole.setdefault(d, []))
+        whole[d] += pieces[0]
+    assert dict(want) == whole
+    bins: dict = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for b in bins.values():
+        assert [o for o, _ in sorted(b)] == [0, *itertools.accumulate(n for _, n in sorted(b))][:-1]
+
+
+def test_pipeline_stages_on_awkward_tables(spark, awkward, tmp_path):
+    """Nulls, repeated rows, clashing columns and empty tables go through every stage."""
     import corpus_pipeline as cp
 
-    docs, kept = spark.read.parquet(f"{DIR}/documents.parquet"), []
-    for _, stage in cp.STAGES[:-1]:
-        docs = stage(spark, docs, DIR)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        kept.append(docs.toPandas())
-    assert kept[1]["doc_id"].is_unique and set(kept[1]["doc_id"]) <= set(kept[0]["doc_id"])
-    assert not kept[2]["text"].map(lambda t: bool(pii.base_spans(t or ""))).any()
-    out = cp.run(spark, DIR).toPandas()
-    whole = out.drop_duplicates(["doc_id", "start"]).groupby("doc_id")["length"].sum()
-    assert set(out["doc_id"]) == set(kept[3]["doc_id"]) and (whole == out.groupby("doc_id")["doc_tokens"].max()).all()
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, None), (7, 1, 1), (None, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (awkward.unionByName(awkward).withColumns({"__row": F.lit(1), "CID": F.lit("c"), "Score": F.lit(2)}), awkward.limit(0)):
+        for k, (name, stage) in enumerate(cp.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns, name
+            out.write.parquet(path := str(tmp_path / f"{docs.count()}-{k}"), mode="overwrite")
+            if name != "packing":
+                docs = spark.read.parquet(path)
+        assert spark.read.parquet(path).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
 def test_registry():
