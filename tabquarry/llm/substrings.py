@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, partitions, table
+from .common import discard, fresh, partitions, stored, table
 from .shingles import mix, prefix_sums, range_hashes
 from .suffixes import repeated_windows
 
@@ -153,13 +153,14 @@ def _shard(t: pa.Table) -> pa.Table:
 def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     """(dk, found): for each of the texts (dk, raw, c) with repeated windows its list of (s0, nw, ranges of windows from s0; null: all)."""
     spark = texts.sparkSession
-    packed = cut(measured(texts, level))
-    same = cut(unpacked(packed).groupBy("v", "hs").agg(F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("dk", "s0", "nw")).alias("rep")))
+    packed = stored(measured(texts, level))
+    same = stored(unpacked(packed).groupBy("v", "hs").agg(F.sum("c").alias("c"), F.max("again").alias("again"), F.min(F.struct("dk", "s0", "nw")).alias("rep")))
     size = F.col("rep.nw") + (WIDTH - 1)
     anchors = same.groupBy("v").agg(F.count(F.lit(1)).alias("kinds"), F.sum(size).alias("bytes"), F.max("again").alias("again"), F.max("c").alias("most"))
     # an anchor of one segment that occurs once and holds the anchor once repeats nothing
     live = anchors.where("most > 1 or kinds > 1 or again").select("v", F.expr("kinds > 1 or again").alias("search"), "bytes")
-    kept = cut(same.join(live, "v").select("v", "hs", "c", "search", "bytes", "rep.dk", "rep.s0", "rep.nw"))
+    kept = stored(same.join(live, "v").select("v", "hs", "c", "search", "bytes", "rep.dk", "rep.s0", "rep.nw"))
+    discard(same)
     hot = F.col("search") & (F.col("bytes") > HOT) & F.lit(level < LEVELS)
     total = kept.where(F.col("search") & ~hot).agg(F.sum(F.col("nw") + WIDTH)).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD), min(partitions(spark), math.ceil(16 * total / SHARD)))
@@ -179,7 +180,7 @@ def repeats(texts: DataFrame, level: int = 0) -> DataFrame:
     whole = kept.where("not search").select("v", "hs", F.lit(None).cast("binary").alias("ranges"))
     result = found.unionByName(whole)
     if kept.where(hot).limit(1).count():
-        again = cut(sent.where("hot = 1").groupBy("v", "hs").agg(F.first("c").alias("c"), F.first("raw").alias("raw")))
+        again = stored(sent.where("hot = 1").groupBy("v", "hs").agg(F.first("c").alias("c"), F.first("raw").alias("raw")))
         inner = repeats(again.select(F.xxhash64("v", "hs").alias("dk"), "raw", "c"), level + 1)
         result = result.unionByName(again.select("v", "hs", F.xxhash64("v", "hs").alias("dk")).join(inner, "dk").mapInArrow(_flattened, "v long, hs long, ranges binary"))
     places = unpacked(packed).select("dk", "v", "hs", "s0", "nw").join(result, ["v", "hs"]).where("ranges is null or octet_length(ranges) > 0")

@@ -137,31 +137,31 @@ def _suffixes_of_names(s: np.ndarray) -> np.ndarray:
 
 
 def _induced_names(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    n, names, kind = len(s), s.tolist(), smaller.tolist()
+    """As ``induce``, one suffix after the other: the loops read the places that they fill."""
+    n = len(s)
     counts = np.bincount(s)
     ends = np.cumsum(counts)
     order = [-1] * n
     tail = ends.tolist()
-    for i in reversed(lms.tolist()):
-        c = names[i]
+    for i, c in zip(reversed(lms.tolist()), s[lms[::-1]].tolist(), strict=True):
         tail[c] -= 1
         order[tail[c]] = i
     head = (ends - counts).tolist()
-    order[head[names[n - 1]]] = n - 1  # the last letter's suffix is the least of its bucket's larger ones
-    head[names[n - 1]] += 1
-    for k in range(n):
-        i = order[k] - 1
-        if i >= 0 and not kind[i]:
-            c = names[i]
-            order[head[c]] = i
+    last = int(s[n - 1])  # its suffix is the least of its bucket's larger ones
+    order[head[last]] = n - 1
+    head[last] += 1
+    # the letter before each suffix if it is of the wanted type; -1 also stands for the empty places, as index -1
+    before = np.concatenate([[-1], np.where(smaller[:-1], -1, s[:-1]), [-1]]).tolist()
+    for j in order:
+        if (c := before[j]) >= 0:
+            order[head[c]] = j - 1
             head[c] += 1
     tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        i = order[k] - 1
-        if i >= 0 and kind[i]:
-            c = names[i]
-            tail[c] -= 1
-            order[tail[c]] = i
+    before = np.concatenate([[-1], np.where(smaller[:-1], s[:-1], -1), [-1]]).tolist()
+    for j in reversed(order):
+        if (c := before[j]) >= 0:
+            tail[c] = h = tail[c] - 1
+            order[h] = j - 1
     return np.array(order, np.int64)
 
 
