@@ -32,8 +32,8 @@ FIXTURES = {
   CASE WHEN c_custkey % 90 = 0 THEN c_name || 'Ã©' ELSE c_name END AS name_garbled,
   'X' AS constant_col FROM customer""",
     "fx_dupes": "SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_custkey % 100 = 0",
-    "fx_near_dupes": """SELECT c_custkey AS rid, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey < 200
-UNION ALL SELECT c_custkey + 100000, c_name, c_nationkey, c_acctbal, 'OTHER' FROM customer WHERE c_custkey < 200 AND c_custkey % 20 = 0""",
+    "fx_near_dupes": """SELECT c_custkey AS rid, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
+UNION ALL SELECT c_custkey + 100000, c_name, c_nationkey, c_acctbal, 'OTHER' FROM customer WHERE c_custkey % 20 = 0""",
     "fx_typed": """SELECT o_orderkey,
   CASE WHEN o_orderkey % 20 = 0 THEN 'N/A' ELSE CAST(CAST(o_totalprice AS BIGINT) AS STRING) END AS price_str,
   CASE WHEN o_orderkey % 15 = 0 THEN 'unknown' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS date_str,
@@ -103,9 +103,13 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the session's shared folder (in local tests, one of our own)."""
+    """Cut the lineage with a table in the session's shared folder (where all runs in one process, else one of our own)."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tabquarry-")
+    top = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="tabquarry-")
     path = f"{top.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -426,6 +426,8 @@ QUERIES = {
 
 _M = f"with {duck('fx_missing')}"
 _imp = lambda e, m: f"{_M} select l_returnflag, count(x)::bigint as n, round(sum(x), 2) as total, '{m}' as used from (select l_returnflag, {e} as x from fx_missing) group by 1"
+_flag_r = lambda c, x: f"(select coalesce(abs(corr(({c} is null)::int, coalesce({x}, (select median({x}) from fx_missing)))), 0) from fx_missing)"
+_flag_spread = lambda c, x: f"(select max(r) - min(r) from (select avg(({c} is null)::int) as r from fx_missing group by coalesce({x}, '__missing__')))"
 _line_sql = lambda m: f"{_M}, f as (select regr_slope(y_mar_num, l_quantity) as b, regr_intercept(y_mar_num, l_quantity) as a from fx_missing) select l_returnflag, count(*)::bigint as n, round(sum(coalesce(y_mar_num, a + b * l_quantity)), 2) as total, '{m}' as used from fx_missing, f group by 1"
 _near = f"""with {duck('fx_part')}, p as (select a.p_partkey, b.p_partkey as other, b.price, b.brand, row_number() over (partition by a.p_partkey order by round(sqrt((a.p_size - b.p_size)**2 + (a.p_retailprice - b.p_retailprice)**2), 9), b.p_partkey) as k
  from fx_part a join fx_part b on a.p_partkey <> b.p_partkey where """
@@ -441,7 +443,10 @@ ORACLE = {
  from (select col, (count(*) - count(v))::bigint as n_null, count(*) as n from ({_TEXT('fx_missing', MISSING)}) group by col)""",
     "mar_numeric": _M + " select * from (" + " union all ".join(f"select 'y_mar_num' as col, '{c}' as other, round(corr((y_mar_num is null)::int, coalesce({c}, (select median({c}) from fx_missing))), 4) as r from fx_missing" for c in ["l_quantity", "l_tax", "l_partkey", "y_true", "y_mcar"]) + ") where abs(r) >= 0.15",
     "mar_categorical": _M + " select * from (" + " union all ".join(f"select 'y_mar_cat' as col, '{c}' as other, round(max(r) - min(r), 4) as spread from (select avg((y_mar_cat is null)::int) as r from fx_missing group by coalesce({c}, '__missing__'))" for c in ["l_returnflag", "flag_missing"]) + ") where spread >= 0.15",
-    "mechanism": "select * from (values ('y_mcar', 'MNAR_suspected'), ('y_mar_num', 'MAR'), ('y_mar_cat', 'MAR'), ('flag_missing', 'MCAR')) t(col, mechanism)",
+    "mechanism": _M + " " + " union all ".join(
+        f"select '{c}' as col, case when greatest({', '.join(_flag_r(c, x) for x in ('l_quantity', 'l_tax') if x != c)}, {_flag_spread(c, 'l_returnflag')}) >= 0.15 then 'MAR' else '{plain}' end as mechanism"
+        for c, plain in (("y_mcar", "MNAR_suspected"), ("y_mar_num", "MNAR_suspected"), ("y_mar_cat", "MNAR_suspected"), ("flag_missing", "MCAR"))
+    ),
     "indicator_correlation": _M + " " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr(({a} is null)::int, ({b} is null)::int), 4) as r from fx_missing" for i, a in enumerate(["y_mcar", "y_mar_num", "y_mar_cat", "y_sparse", "flag_missing"]) for b in ["y_mcar", "y_mar_num", "y_mar_cat", "y_sparse", "flag_missing"][i + 1 :]),
     "impute_mean": _imp("coalesce(y_mcar, (select avg(y_mcar) from fx_missing))", "mean"),
     "impute_median": _imp("coalesce(y_mcar, (select median(y_mcar) from fx_missing))", "median"),

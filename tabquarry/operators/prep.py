@@ -399,6 +399,17 @@ QUERIES = {f"engineer_{op}": _engineered(op) for op in _ENG} | {
     "pca": over("lineitem", lambda d: pca(d, ["l_quantity", "l_tax"]).select("component", F.round("share", 6).alias("share"), F.round("cumulative", 6).alias("cumulative"))),
 }
 _E = f"with {duck('fx_enc')}"
+
+
+def _by_likelihood(jacobian: str, power: str, shown: str) -> str:
+    """SQL of a power transform of a positive column: the exponent of largest likelihood on a grid that is refined twice."""
+    sql = f"with x as (select l_returnflag, l_quantity as v from lineitem), j as (select count(v) as n, sum({jacobian}) as j from x), b0 as (select 1.0::double as b, 3.0::double as half)"
+    for k in (1, 2, 3):
+        grid = f"select b - half + i * half / 12 as g, half / 12 as step from b{k - 1}, range(25) t(i)"
+        sql += f", g{k} as ({grid}), l{k} as (select g, any_value(step) as step, -0.5 * any_value(n) * ln(var_pop({power})) + (g - 1) * any_value(j) as ll from g{k}, x, j group by g), b{k} as (select arg_max(g, ll) as b, any_value(step) as half from l{k})"
+    return f"{sql}, t as (select l_returnflag, {power} as t from x, (select b as g from b3)), s as (select l_returnflag, {shown} as s from t) select l_returnflag, round(avg(s), 6) as mean, round(max(s), 6) as hi from s group by 1"
+
+
 _one_tr = lambda e: f"select l_returnflag, round(avg(x), 6) as mean, round(max(x), 6) as hi from (select l_returnflag, {e} as x from lineitem) group by 1"
 ORACLE = {f"engineer_{op}": f"with {duck('fx_eng')} select l_returnflag, round(sum(f), 3) as total, count(f)::bigint as n from (select l_returnflag, ({e})::double as f from fx_eng) group by 1" for op, (_, _, e) in _ENG.items()} | {
     "engineer_bin": "with q as (select quantile_cont(l_quantity, [0, 0.25, 0.5, 0.75, 1]) as q from lineitem) select case when l_quantity <= q[2] then 0 when l_quantity <= q[3] then 1 when l_quantity <= q[4] then 2 else 3 end as f, count(*)::bigint as n from lineitem, q group by 1",
@@ -419,7 +430,12 @@ ORACLE = {f"engineer_{op}": f"with {duck('fx_eng')} select l_returnflag, round(s
     "transform_minmax_scale": _one_tr("(l_quantity - min(l_quantity) over ()) / (max(l_quantity) over () - min(l_quantity) over ())"),
     "transform_robust_scale": _one_tr("(l_quantity - (select median(l_quantity) from lineitem)) / (select quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) from lineitem)"),
     "transform_rank": _one_tr("(rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0) / count(*) over ()"),
-    "variance_filter": "select 'five' as col", "correlation_filter": "select 'l_quantity' as col", "tree_importance": "select 'l_quantity' as col",
+    "variance_filter": f"with {duck('fx_const')} select col from (select 'l_quantity' as col, var_pop(l_quantity) as v from fx_const union all select 'five', var_pop(five) from fx_const union all select 'l_tax', var_pop(l_tax) from fx_const) where v = 0",
+    "correlation_filter": f"with {duck('fx_const')}, v as (select var_samp(l_quantity) as l_quantity, var_samp(l_tax) as l_tax, var_samp(twice) as twice from fx_const) select distinct col from (" + " union all ".join(f"select case when v.{a} < v.{b} then '{a}' else '{b}' end as col, abs((select corr({a}, {b}) from fx_const)) as r from v" for a, b in (("l_quantity", "l_tax"), ("l_quantity", "twice"), ("l_tax", "twice"))) + ") where r > 0.95",
+    "transform_boxcox": _by_likelihood("ln(v)", "case when abs(g) < 1e-9 then ln(v) else (power(v, g) - 1) / g end", "t"),
+    "transform_yeojohnson": _by_likelihood("ln(1 + v)", "case when abs(g) < 1e-9 then ln(1 + v) else (power(v + 1, g) - 1) / g end", "t"),
+    "transform_power": _by_likelihood("ln(1 + v)", "case when abs(g) < 1e-9 then ln(1 + v) else (power(v + 1, g) - 1) / g end", "(t - avg(t) over ()) / stddev_pop(t) over ()"),
+    "tree_importance": "select 'l_quantity' as col",
     "mutual_information": f"with {duck('fx_const')}, c as (select 'l_quantity' as col, l_quantity as v, target as t from fx_const union all select 'l_tax', l_tax, target from fx_const), r as (select col, min(v) as lo, max(v) as hi, count(*) as n from c group by 1), j as (select c.col, n, t, least(floor((v - lo) / (hi - lo) * 20), 19) as b, count(*) as c from c join r on c.col = r.col group by 1, 2, 3, 4), m as (select *, sum(c) over (partition by col, t) as ct, sum(c) over (partition by col, b) as cb from j) select col, round(sum(c / n * ln(c * n / (ct * cb))), 6) as mi from m group by 1",
     "pca": "with c as (select abs(corr(l_quantity, l_tax)) as r from lineitem) select 1 as component, round((1 + r) / 2, 6) as share, round((1 + r) / 2, 6) as cumulative from c union all select 2, round((1 - r) / 2, 6), 1.0 from c",
 }

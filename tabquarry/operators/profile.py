@@ -286,7 +286,7 @@ ORACLE = {
     "sentinels": f"""with {duck('fx_dirty')} select col, v as value, count(*)::bigint as n from (select col, trim(v) as v from ({_TEXT('fx_dirty', DIRTY_TEXT)})
  where trim(v) in ({', '.join(repr(x) for x in SENTINEL_STRINGS)}) union all select col, v::bigint::varchar from ({_LONG('fx_dirty', ['c_custkey', 'c_nationkey', 'acctbal', 'cust_age', 'disc_pct'])})
  where v in (-999, 9999, -1, 99999)) group by 1, 2""",
-    "zero_variance": "select 'constant_col' as col",
+    "zero_variance": f"with {duck('fx_dirty')} select col from ({_TEXT('fx_dirty', ['c_custkey', 'c_nationkey', 'acctbal', 'cust_age', 'disc_pct', *DIRTY_TEXT])}) group by col having count(distinct v) <= 1",
     "extreme_skew": f"with {duck('fx_skewed')} select * from (select col, round(skewness(v), 2) as skew, round(avg(v), 4) as mean, round(median(v), 4) as median from ({_LONG('fx_skewed', ['event_id', 'cubed', 'value'])}) group by col) where abs(skew) > 2",
     "high_cardinality": f"with {duck('fx_dirty')} select 'name_garbled' as col, count(distinct name_garbled) as n_unique from fx_dirty",
     "average_rank": "select l_orderkey, l_partkey, l_extendedprice, round((rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0) / count(*) over (), 6) as rank from lineitem",

@@ -148,6 +148,18 @@ QUERIES = {
     "uniqueness": over("lineitem_unique", uniqueness),
 }
 FIXTURES["lineitem_unique"] = "SELECT event_id, event_type, value FROM events"
+
+
+def _formulas(cols: list[str]) -> list[str]:
+    """SQL of every formula over two columns, as structs with whether it holds."""
+    out = []
+    for t in cols:
+        for a, b in permutations([c for c in cols if c != t], 2):
+            ops = {"-": f"{a} - {b}", "/": f"{a} / nullif({b}, 0)"} | ({"+": f"{a} + {b}", "*": f"{a} * {b}"} if a < b else {})
+            out += [f"{{'col': '{t}', 'formula': '{a} {op} {b}', 'ok': bool_and(coalesce(abs({e} - {t}) <= 1e-8 + 1e-6 * abs({t}), true)) and count({e}) > 10}}" for op, e in ops.items()]
+    return out
+
+
 ORACLE = {
     "exact_duplicates": f"with {duck('fx_dupes')}, g as (select count(*) as c from fx_dupes group by c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) select sum(c - 1)::bigint as n_duplicates, round(100.0 * sum(c - 1) / sum(c), 2) as pct from g",
     "identifier_duplicates": f"with {duck('fx_dupes')} select c_custkey as id, count(*)::bigint as n from fx_dupes group by 1 having count(*) > 1",
@@ -159,7 +171,7 @@ ORACLE = {
     "near_duplicates": f"""with {duck('fx_near_dupes')} select * from (select a.rid as a, b.rid as b, (a.c_name = b.c_name)::int + (a.c_nationkey = b.c_nationkey)::int + (a.c_acctbal = b.c_acctbal)::int + (a.c_mktsegment = b.c_mktsegment)::int as matches
  from fx_near_dupes a join fx_near_dupes b on a.rid < b.rid) where matches = 3""",
     "date_order": f"with {duck('fx_dates')} select 'start_date' as early, 'end_date' as late, count(*)::bigint as n from fx_dates where start_date > end_date",
-    "derived_columns": "select * from (values ('d_sum', 'l_quantity + l_tax'), ('l_quantity', 'd_sum - l_tax'), ('l_tax', 'd_sum - l_quantity'), ('d_diff', 'l_quantity - l_discount'), ('l_quantity', 'd_diff + l_discount'), ('l_discount', 'l_quantity - d_diff'), ('d_prod', 'l_discount * l_quantity'), ('l_discount', 'd_prod / l_quantity'), ('l_quantity', 'd_prod / l_discount')) t(col, formula)",
+    "derived_columns": f"with {duck('fx_formula')} select x.col, x.formula from (select unnest([{', '.join(_formulas(['l_quantity', 'l_tax', 'l_discount', 'd_sum', 'd_diff', 'd_prod']))}]) as x from fx_formula) where x.ok",
     "special_characters": f"with {duck('fx_special')} select 'name' as col, count(*)::bigint as n from fx_special where contains(name, chr(9))",
     "mixed_delimiters": f"with {duck('fx_dirty')} select 'tags' as col, count(*) filter (where contains(tags, ','))::bigint as commas, count(*) filter (where contains(tags, ';'))::bigint as semicolons from fx_dirty",
     "uniqueness": "select 'event_id' as col, 'likely_id' as verdict union all select 'event_type', 'low' from (select count(distinct event_type) / count(*) as r from events) where r < 0.001",

@@ -312,20 +312,20 @@ ORACLE = {
     "crosstab": "select o_orderpriority as a, o_orderstatus as b, count(*)::bigint as n from orders group by 1, 2",
     "chi_square": f"select 'o_orderpriority' as col_a, 'o_orderstatus' as col_b, round(chi2, 4) as chi2, dof, round(sqrt(chi2 / (t * q)), 4) as v from {_chi('o_orderpriority', 'o_orderstatus', 'orders')}",
     "chi_square_yates": f"{_T}, x as (select *, o_orderkey % 2 as late from fx_target) select 'late' as col_a, 'target' as col_b, round(chi2, 4) as chi2, dof, round(sqrt(chi2 / (t * q)), 4) as v from {_chi('late', 'target', 'x', True)}",
-    "target_type": "select 'target' as col, 'binary' as type",
+    "target_type": f"{_T} select 'target' as col, case when k <= 2 then 'binary' when k <= 10 then 'categorical' else 'numeric' end as type from (select count(distinct target) as k from fx_target)",
     "class_balance": f"{_T}, c as (select count(*) as n from fx_target group by target) select count(*)::bigint as classes, round(min(n) / max(n), 4) as balance, round(100.0 * min(n) / sum(n), 2) as minority, 100.0 * min(n) / sum(n) < 20 as imbalanced from c",
     "point_biserial": _T + " " + " union all ".join(f"select '{c}' as feature, round(abs(corr({c}, target)), 4) as strength from fx_target" for c in ["o_totalprice", "o_custkey", "leak_near_const"]),
     "category_code_rho": f"select 'o_orderpriority' as feature, round(abs({_rho('o_orderpriority', 'o_totalprice', 'orders')}), 4) as strength",
     "feature_ranking": f"{_T}, s as (" + " union all ".join(f"select '{c}' as feature, round(abs(corr({c}, target)), 4) as strength from fx_target" for c in ["o_totalprice", "o_custkey"]) + " union all " + " union all ".join(f"select '{c}' as feature, round(sqrt(chi2 / (t * q)), 4) as strength from {_chi(c, 'target', 'fx_target')}" for c in ["o_orderpriority", "o_orderstatus"]) + ") select feature, strength, row_number() over (order by strength desc, feature)::int as rank from s",
     "class_divergence": _T + " select * from (" + " union all ".join(f"select '{c}' as col, round(max(m) - min(m), 4) as span, round((select stddev_samp({c}) from fx_target), 4) as std from (select avg({c}) as m from fx_target group by target)" for c in ["o_totalprice", "o_custkey", "leak_near_const"]) + ") where span > 0.5 * std",
     "leak_correlation": f"{_T} select 'leak_near_const' as feature, round(abs(corr(leak_near_const, target)), 4) as strength from fx_target",
-    "leak_bijection": "select 'leak_bijection' as col",
-    "leak_temporal_words": "select 'next_order_value' as col",
+    "leak_bijection": _T + " select col from (" + " union all ".join(f"select '{c}' as col, (select max(k) from (select count(distinct target) as k from fx_target group by {c})) as f, (select max(k) from (select count(distinct {c}) as k from fx_target group by target)) as b, count(*) as n from fx_target" for c in ["leak_bijection", "o_orderstatus", "o_orderpriority"]) + ") where f = 1 and b = 1 and n >= 10",
+    "leak_temporal_words": f"{_T}, w as (select unnest(map_keys(to_json(t)::json::map(varchar, varchar))) as col from (select * from fx_target limit 1) t) select col from w where regexp_matches(lower(col), '{'|'.join(LEAK_WORDS)}')",
     "leak_future_dates": f"{_T} select 'ship_date' as col, count(*)::bigint as n, round(avg((ship_date > o_orderdate)::int), 4) as share from fx_target",
     "leak_high_cardinality": f"with {duck('fx_dirty')} select 'name_garbled' as col, count(distinct name_garbled)::bigint as n_unique from fx_dirty",
-    "leak_near_constant": "select 'leak_near_const' as col",
+    "leak_near_constant": _T + " select col from (" + " union all ".join(f"select '{c}' as col, (select max(s) from (select stddev_samp({c}) as s from fx_target group by target)) as inside, stddev_samp({c}) as overall from fx_target" for c in ["leak_near_const", "o_totalprice"]) + ") where inside < 0.01 * overall",
     "leak_identifiers": "select 'c_custkey' as col union all select 'c_name' union all select 'c_acctbal' from customer having count(*) = count(distinct c_acctbal)",
-    "find_target": "select 'target' as col, 2::bigint as n_unique",
+    "find_target": f"{_T}, w as (select unnest(map_entries(to_json(t)::json::map(varchar, varchar))) as e from fx_target t), u as (select e.key as col, count(distinct e.value)::bigint as n_unique from w group by 1) select col, n_unique from u where col in {TARGET_NAMES} order by n_unique <> 2, col limit 1",
     "interaction_means": "select l_returnflag, l_linestatus, count(*)::bigint as n, round(avg(l_quantity), 4) as mean from lineitem group by 1, 2",
     "interaction_score": f"select 'l_returnflag' as a, 'l_linestatus' as b, {_score('l_returnflag', 'l_linestatus')} as score",
     "top_interactions": "select * from (" + " union all ".join(f"select '{a}' as a, '{b}' as b, {_score(a, b)} as score" for a, b in (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"), ("l_linestatus", "l_linenumber"))) + ") order by score desc, a, b limit 5",
