@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.errors import AnalysisException
+from pyspark.errors import ArithmeticException as SparkArithmeticException
+from pyspark.errors import NumberFormatException as SparkNumberFormatException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,17 +113,23 @@ def _scalar(df: DataFrame, e):
     return df.agg(e.alias("v")).first()["v"]  # one value
 
 
+def _plain_value(df: DataFrame, col: str, method: str):
+    if method == "mode":
+        counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("c"))
+        return _scalar(counts, F.min_by(col, F.struct(-F.col("c"), F.col(col))))
+    return _scalar(df, (F.avg if method == "mean" else F.median)(col))
+
+
 def mean(df: DataFrame, col: str, ev: Evidence) -> DataFrame:
-    return _with(df, col, F.lit(_scalar(df, F.avg(col))))
+    return _with(df, col, F.lit(_plain_value(df, col, "mean")))
 
 
 def median(df: DataFrame, col: str, ev: Evidence) -> DataFrame:
-    return _with(df, col, F.lit(_scalar(df, F.median(col))))
+    return _with(df, col, F.lit(_plain_value(df, col, "median")))
 
 
 def mode(df: DataFrame, col: str, ev: Evidence) -> DataFrame:
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("c"))
-    return _with(df, col, F.lit(_scalar(counts, F.min_by(col, F.struct(-F.col("c"), F.col(col))))))
+    return _with(df, col, F.lit(_plain_value(df, col, "mode")))
 
 
 def grouped_median(df: DataFrame, col: str, ev: Evidence) -> DataFrame:
@@ -237,10 +246,10 @@ def missforest(df: DataFrame, col: str, ev: Evidence, trees: int = 50) -> DataFr
     if not xs or df.where(F.col(col).isNotNull()).limit(10).count() < 10:
         return None
     med = df.agg(*[F.median(c).alias(c) for c in xs]).first()
-    filled = df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))) for c in xs}).withColumn("__y", F.col(col).cast("double"))
-    vec = VectorAssembler(inputCols=[f"__{c}" for c in xs], outputCol="__x").transform(filled)
-    model = RandomForestRegressor(featuresCol="__x", labelCol="__y", predictionCol="__hat", numTrees=trees, seed=ev.seed).fit(vec.where("__y is not null"))
-    return model.transform(vec).withColumn(col, F.coalesce(F.col(col).cast("double"), "__hat")).select(*df.columns)
+    filled = df.withColumns({f"__{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))) for c in xs}).withColumn("__(wanted)", F.col(col).cast("double"))
+    vec = VectorAssembler(inputCols=[f"__{c}" for c in xs], outputCol="__(features)").transform(filled)
+    model = RandomForestRegressor(featuresCol="__(features)", labelCol="__(wanted)", predictionCol="__(hat)", numTrees=trees, seed=ev.seed).fit(vec.where(F.col("`__(wanted)`").isNotNull()))
+    return model.transform(vec).withColumn(col, F.coalesce(F.col(col).cast("double"), F.col("`__(hat)`"))).select(*df.columns)
 
 
 def softimpute(df: DataFrame, col: str, ev: Evidence, rounds: int = 20) -> DataFrame | None:
@@ -284,21 +293,62 @@ METHODS: dict[str, Callable] = {
 
 
 def apply(df: DataFrame, col: str, method: str, ev: Evidence) -> tuple[DataFrame, str]:
-    """(imputed, method used): a method that is unknown, not applicable or fails falls back to median or mode."""
+    """(imputed, method used): a method that is unknown, not applicable or fails falls back to median or mode.
+
+    A method fails by what it raises itself, on numbers or types; errors of the cluster are not taken for that.
+    """
     if method == "drop_rows":
         return df.where(F.col(col).isNotNull()), method
     out = None
     if method in METHODS:
         try:
             out = METHODS[method](df, col, ev)
-        except Exception:  # the fallback is recorded in the name returned
-            out = None
+        except (ValueError, TypeError, ArithmeticError, np.linalg.LinAlgError, AnalysisException, SparkArithmeticException, SparkNumberFormatException):
+            out = None  # the fallback is recorded in the name returned
     if out is not None:
         return out, method
     plain = "median" if col in numeric_columns(df) else "mode"
     return METHODS[plain](df, col, ev), f"fallback_{plain}"
 
 
+def fit(df: DataFrame, col: str, method: str, ev: Evidence) -> tuple[Callable[[DataFrame], DataFrame], str]:
+    """(what fills a frame from what ``df`` has, method used).
+
+    Means, medians, modes and lines are kept as numbers, medians of groups as a table. The other methods take their donors or
+    their model from the rows of ``df``: a frame to fill joins them with its own values of ``col`` hidden, so that none
+    of them counts. Its keys must not be those of ``df``.
+    """
+    filled, used = apply(df, col, method, ev)
+    if used == "drop_rows":
+        return (lambda d: d.where(F.col(col).isNotNull())), used
+    plain = used.removeprefix("fallback_")
+    if plain in ("mean", "median", "mode"):
+        value = _plain_value(df, col, plain)
+        return (lambda d: _with(d, col, F.lit(value))), used
+    if plain == "grouped_median" and ev.group:
+        med = cut(df.where(F.col(ev.group).isNotNull()).groupBy(ev.group).agg(F.median(col).alias("__m")))
+        rest = _plain_value(df, col, "median")
+        return (lambda d: d.join(med, ev.group, "left").withColumn(col, F.coalesce(col, "__m", F.lit(rest))).select(*d.columns)), used
+    if plain in ("regression", "stochastic_regression"):
+        xs = ev.correlates[:3]
+        a, b, s, _ = ols(df, col, xs)
+        rest, noise = _plain_value(df, col, "median"), 0.5 * s if plain == "stochastic_regression" else 0.0
+        return (lambda d: _with(d, col, F.coalesce(_line(a, b, xs) + (F.randn(ev.seed) * noise if noise else F.lit(0.0)), F.lit(rest)))), used
+    if plain == "em":
+        xs = ev.correlates[:3]
+        a, b, _, _ = ols(df.withColumns({x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in xs}), col, xs)
+        return (lambda d: _with(d, col, _line(a, b, xs, fill=True))), used
+
+    def from_rows(d: DataFrame) -> DataFrame:
+        own = F.struct(F.col(col).alias("v"))  # no number of its own, lest methods take it for a regressor
+        hidden = d.withColumns({"__own": own, "__new": F.lit(True), col: F.lit(None).cast(d.schema[col].dataType)})
+        known = df.withColumns({"__own": own, "__new": F.lit(False)})
+        out = apply(known.unionByName(hidden), col, plain, ev)[0]
+        return out.where("__new").withColumn(col, F.coalesce("__own.v", col)).select(*d.columns)
+
+    return from_rows, used
+
+
 def select_methods(df: DataFrame, col: str, share: float, ev: Evidence) -> list[str]:
     """Candidates by rule from type, share of nulls and correlates."""
     if col not in numeric_columns(df):

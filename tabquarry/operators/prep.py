@@ -18,7 +18,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import FIXTURES, average_rank, clean, duck, numeric_columns, over
+from .base import FIXTURES, clean, cut, duck, numeric_columns, over, running
 from .relations import pearson
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "nunique": F.count_distinct}
@@ -83,17 +83,19 @@ def engineer(df: DataFrame, name: str, op: str, src: list[str], params: dict | N
         return df.withColumn(name, F.log1p(c[0]))
     if op == "multiply":
         return df.withColumn(name, c[0] * c[1]) if len(c) == 2 else df
-    if op == "groupby_agg":
-        agg = AGGREGATES[p.get("agg_func", "mean")]
-        per = df.where(c[0].isNotNull()).groupBy(src[0]).agg(agg(src[1]).alias("__a"))
-        return lookup(df, per, src[0], "__a", name)
-    if op == "count":
-        return lookup(df, df.where(c[0].isNotNull()).groupBy(src[0]).agg(F.count(F.lit(1)).alias("__a")), src[0], "__a", name)
+    if op in ("groupby_agg", "count"):
+        return lookup(df, p.get("table") or group_table(df, op, src, p), src[0], "__a", name)
     if op == "reciprocal":
         return df.withColumn(name, 1.0 / (c[0] + 1e-8))
     raise ValueError(f"unknown operation {op!r}")
 
 
+def group_table(df: DataFrame, op: str, src: list[str], params: dict) -> DataFrame:
+    """What groupby_agg and count look up: a row per group."""
+    agg = F.count(F.lit(1)) if op == "count" else AGGREGATES[params.get("agg_func", "mean")](src[1])
+    return df.where(F.col(src[0]).isNotNull()).groupBy(src[0]).agg(agg.alias("__a"))
+
+
 def quantile_edges(df: DataFrame, col: str, bins: int) -> list[float]:
     q = _one(df, F.percentile(F.col(col).cast("double"), F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q"))["q"]
     return sorted(set(q)) if q else []
@@ -197,7 +199,11 @@ def fit_transform(df: DataFrame, col: str, method: str) -> Step:
     elif method == "quantile":
         n = min(1000, df.where(x.isNotNull()).count())
         p["grid"] = _one(df, F.percentile(x, F.array(*[F.lit(i / max(1, n - 1)) for i in range(n)])))[0] if n else []
-    elif method not in ("log1p", "sqrt", "rank"):
+    elif method == "rank":
+        counts = cut(df.where(x.isNotNull()).groupBy(x.alias("__v")).agg(F.count(F.lit(1)).alias("__n")))
+        p["total"] = df.count()
+        p["upto"] = cut(running(counts, [], ["__v"], {"__upto": F.col("__n")}))
+    elif method not in ("log1p", "sqrt"):
         raise ValueError(f"unknown transform {method!r}")
     return Step("transform", method, [col], p)
 
@@ -218,8 +224,7 @@ def transform(df: DataFrame, step: Step) -> DataFrame:
     if m == "power":
         return df.withColumn(col, (yeo_johnson(x, p["lam"]) - p["center"]) / p["scale"]) if p["scale"] else df
     if m == "rank":
-        n = df.count()
-        return average_rank(df, col, "__r").withColumn(col, F.col("__r") / n).select(*df.columns)
+        return _rank_among(df, col, p["upto"], p["total"])
     grid = np.array(p["grid"])
 
     @F.pandas_udf("double")
@@ -232,6 +237,21 @@ def transform(df: DataFrame, step: Step) -> DataFrame:
     return df.withColumn(col, normal_score(x)) if len(grid) else df
 
 
+def _rank_among(df: DataFrame, col: str, upto: DataFrame, total: int) -> DataFrame:
+    """The mean rank of each value among the fitted ones, over their number; a value between two of them gets the rank between.
+
+    Distinct values and fitted ones are put in one order; the fitted one before each is found in ranges of it, which
+    hand on their last.
+    """
+    x = F.col(col).cast("double")
+    mine = df.where(x.isNotNull()).select(x.alias("__v")).distinct()
+    both = upto.select("__v", F.col("__n"), F.lit(0).alias("__asked")).unionByName(mine.select("__v", F.lit(0).cast("long").alias("__n"), F.lit(1).alias("__asked")))
+    per = both.groupBy("__v").agg(F.sum("__n").alias("__n"), F.max("__asked").alias("__asked"))
+    placed = running(per, [], ["__v"], {"__upto": F.col("__n")}).where("__asked = 1")
+    rank = F.when(F.col("__n") > 0, F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).otherwise(F.col("__upto") + F.lit(0.5)) / total
+    return lookup(df.withColumn("__x", x), placed.select(F.col("__v").alias("__x"), rank.alias("__r")), "__x", "__r", "__found").withColumn(col, F.col("__found")).select(*df.columns)
+
+
 # --- selection ----------------------------------------------------------------------------------------------------
 def variance_filter(df: DataFrame, cols: list[str]) -> list[str]:
     one = _one(clean(df, cols), *[F.var_pop(c).alias(c) for c in cols])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import impute, prep, profile, relations
-from ..operators.base import numeric_columns
+from ..operators.base import cut, numeric_columns
 
 ORDER = ("drop_columns", "impute", "engineer", "encode", "transform")
 #: Further named steps, (df) -> df, that run behind the plan's own.
@@ -50,7 +50,10 @@ def fit(df: DataFrame, plan: dict, key: str) -> tuple[DataFrame, Fitted]:
             out.skipped.append(f"impute {col}")
             continue
         ev = impute.Evidence(key, x.get("regressors") or [], (x.get("group_by") or [None])[0])
-        add(f"impute {col} {x['method']}", lambda d, c=col, m=x["method"], e=ev: impute.apply(d, c, m, e)[0])
+        fill, used = impute.fit(df, col, x["method"], ev)
+        if used != x["method"]:
+            out.skipped.append(f"impute {col} {x['method']}: {used}")
+        add(f"impute {col} {used}", fill)
     for x in plan.get("engineer", ()):
         if not set(x["source_columns"]) <= set(df.columns):
             out.skipped.append(f"engineer {x['name']}")
@@ -58,6 +61,8 @@ def fit(df: DataFrame, plan: dict, key: str) -> tuple[DataFrame, Fitted]:
         params = dict(x.get("params") or {})
         if x["operation"] == "bin":
             params["edges"] = prep.quantile_edges(df, x["source_columns"][0], int(params.get("bins", 4)))
+        elif x["operation"] in ("groupby_agg", "count"):
+            params["table"] = cut(prep.group_table(df, x["operation"], x["source_columns"], params))
         try:
             add(f"engineer {x['name']}", lambda d, x=x, p=params: prep.engineer(d, x["name"], x["operation"], x["source_columns"], p))
         except ValueError as e:

@@ -209,6 +209,35 @@ def test_snapshots_and_readers(spark, tmp_path):
     assert snaps.entries()[1]["retyped"] == {"a": ["bigint", "int"]} and snaps.latest().columns == ["a", "c"]
 
 
+def test_plan_fitted_on_one_split_fills_another(spark):
+    """What a test split is filled with comes from the training split alone."""
+    from tabquarry.plans.runner import fit
+
+    train = spark.createDataFrame([(i, float(i % 7), "g" if i % 2 else "h", None if i % 5 == 0 else 3.0 * (i % 7) + 1, "a" if i % 3 else None) for i in range(60)], "k long, x double, g string, y double, s string")
+    test = spark.createDataFrame([(1000 + i, float(i % 7), "g" if i % 2 else "h", None if i % 2 else 500.0 + i, None if i % 2 else "z") for i in range(20)], "k long, x double, g string, y double, s string")
+    seen = [r["y"] for r in train.collect() if r["y"] is not None]
+    for method in ("mean", "median", "grouped_median", "regression", "em", "knn", "hotdeck", "pmm", "missforest", "mice"):
+        plan = {"impute": [{"column": "y", "method": method, "regressors": ["x"], "group_by": ["g"]}, {"column": "s", "method": "mode"}], "engineer": [{"name": "m", "operation": "groupby_agg", "source_columns": ["g", "y"]}], "transform": [{"column": "x", "method": "rank"}]}
+        _, fitted = fit(train, plan, "k")
+        assert not fitted.skipped, method
+        rows = {r["k"]: r for r in fitted.apply(test).collect()}
+        assert len(rows) == 20 and all(rows[1000 + i]["y"] == 500.0 + i and rows[1000 + i]["s"] == "z" for i in range(0, 20, 2))
+        assert all(min(seen) - 1 <= rows[1000 + i]["y"] <= max(seen) + 1 and rows[1000 + i]["s"] == "a" for i in range(1, 20, 2)), method
+        assert all(0 < r["x"] <= 1 and r["m"] < 30 for r in rows.values())
+
+
+def test_session_stream(spark, tmp_path):
+    from tabquarry.streaming.drift import sessions
+
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    q = sessions(stream, "ts", "user_id", "6 hours").writeStream.outputMode("complete").format("memory").queryName("sess").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(spark.table("sess").collect()) == sorted(sessions(events, "ts", "user_id", "6 hours").collect())
+
+
 def test_stream_profile(spark, tmp_path):
     from tabquarry.streaming.drift import windowed_profile
 
