@@ -159,9 +159,10 @@ def target_candidates(df: DataFrame) -> DataFrame:
 
 
 def temporal_columns(df: DataFrame) -> DataFrame:
-    """Typed date columns, and string columns with a date's name that mostly parse."""
+    """Typed date columns, and string columns that mostly parse and whose whole name, but for underscores, is a date's."""
     typed = [f.name for f in df.schema if f.dataType.simpleString().startswith(("timestamp", "date"))]
-    named = [c for c in string_columns(df) if any(h in c.lower() for h in TEMPORAL_NAMES)]
+    hints = {h.replace("_", "") for h in TEMPORAL_NAMES}
+    named = [c for c in string_columns(df) if c.lower().strip().replace("_", "") in hints]
     out = df.sparkSession.createDataFrame([(c, 1.0) for c in typed], "col string, share double")
     if named:
         out = out.unionByName(date_as_string(df, named).where("share > 0.8").select("col", "share"))
@@ -236,7 +237,7 @@ QUERIES = {
     "size_estimate": over("customer", size_estimate),
     "classify": over("orders", classify),
     "target_candidates": over("fx_target", target_candidates),
-    "temporal_columns": over("fx_typed", temporal_columns),
+    "temporal_columns": over("fx_typed", lambda d: temporal_columns(d.withColumnRenamed("date_str", "order_date"))),
     "garbled": over("fx_dirty", garbled),
     "misaligned": over("fx_typed", lambda d: misaligned(d, ["price_str"])),
     "repeated_header": over("fx_header", lambda d: repeated_header(d, "rid")),
@@ -279,7 +280,7 @@ ORACLE = {
  union all select 'o_orderstatus', 'categorical_nominal', count(distinct o_orderstatus) from orders union all select 'o_totalprice', 'continuous', count(distinct o_totalprice) from orders
  union all select 'o_orderdate', 'datetime', count(distinct o_orderdate) from orders union all select 'o_orderpriority', 'categorical_nominal', count(distinct o_orderpriority) from orders""",
     "target_candidates": f"with {duck('fx_target')} select 'target' as col, true as named, count(distinct target) as n_unique from fx_target union all select 'leak_bijection', false, count(distinct leak_bijection) from fx_target union all select 'leak_near_const', false, count(distinct leak_near_const) from fx_target",
-    "temporal_columns": f"with {duck('fx_typed')} select 'date_str' as col, round(count(try_cast(date_str as timestamp)) / count(*), 2) as share from fx_typed",
+    "temporal_columns": f"with {duck('fx_typed')} select 'order_date' as col, round(count(try_cast(date_str as timestamp)) / count(*), 2) as share from fx_typed",
     "garbled": f"with {duck('fx_dirty')} select 'name_garbled' as col, count(*)::bigint as n, min(name_garbled) as example from fx_dirty where regexp_matches(name_garbled, '[Ã©¼¢â€™]')",
     "misaligned": f"with {duck('fx_typed')} select 'price_str' as col, count(*)::bigint as n from fx_typed where regexp_matches(price_str, '[A-Za-z]')",
     "repeated_header": "select '2' as row, 2 as hits from customer where c_custkey = 2",

@@ -209,6 +209,11 @@ def test_snapshots_and_readers(spark, tmp_path):
     assert snaps.entries()[1]["retyped"] == {"a": ["bigint", "int"]} and snaps.latest().columns == ["a", "c"]
 
 
+def test_temporal_columns_by_whole_name(spark):
+    df = spark.createDataFrame([("2024-01-02",) * 3] * 20, "accounts string, Created_At string, date_str string")
+    assert [r["col"] for r in profile.temporal_columns(df).collect()] == ["Created_At"]
+
+
 def test_plan_fitted_on_one_split_fills_another(spark):
     """What a test split is filled with comes from the training split alone."""
     from tabquarry.plans.runner import fit
