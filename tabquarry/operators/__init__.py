@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: list[str] = ["profile", "quality", "impute", "relations", "outliers", "drift", "prep", "planned"]
+MODULES: list[str] = ["profile", "quality", "impute", "relations", "outliers", "drift", "prep", "planned", "summaries"]
 
 
 def collect(kind: str) -> dict:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.errors import AnalysisException
@@ -14,11 +15,13 @@ from pyspark.errors import NumberFormatException as SparkNumberFormatException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import nets
 from .base import FIXTURES, clean, cut, duck, kurt, long_form, numeric_columns, over, running, skew, string_columns
 from .neighbours import nearest_donor, nearest_rows
 from .profile import _TEXT, MISSING
 
 DROP_ABOVE, WARN_ABOVE, MAR_LIMIT = 0.50, 0.30, 0.15
+FIT_ROWS = 4096  # rows that a deep imputer is fitted on
 
 
 @dataclass
@@ -280,15 +283,40 @@ def softimpute(df: DataFrame, col: str, ev: Evidence, rounds: int = 20) -> DataF
     return w.withColumn(col, F.coalesce(F.col(col), F.col(f"__{col}") * s[i] + m[i])).select(*df.columns)
 
 
-def unavailable(df: DataFrame, col: str, ev: Evidence) -> None:
-    """Deep imputers need a tensor library that is not here; callers fall back as for any method that fails."""
-    return None
+def deep(fit_net: Callable) -> Callable:
+    """An imputer from a network over all numeric columns but the key.
+
+    Moments are taken over all rows; the network is fitted on at most FIT_ROWS rows, those of the smallest hashes of the
+    key, and fills every row in Arrow batches.
+    """
+
+    def fill(df: DataFrame, col: str, ev: Evidence) -> DataFrame | None:
+        cols = [c for c in numeric_columns(df) if c != ev.key]
+        if col not in cols or len(cols) < 2:
+            return None
+        flat = clean(df, cols).select(ev.key, *[F.col(c).cast("double").alias(c) for c in cols])
+        st = flat.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        mean, sd = np.array([st[f"m{i}"] or 0.0 for i in range(len(cols))]), np.array([st[f"s{i}"] or 1.0 for i in range(len(cols))])
+        if st[f"m{cols.index(col)}"] is None:
+            return None
+        known = flat.orderBy(F.xxhash64(F.col(ev.key), F.lit(ev.seed)), *cols).limit(FIT_ROWS).toPandas()[cols].to_numpy(dtype=float)
+        net = fit_net(np.nan_to_num((known - mean) / sd), (~np.isnan(known)).astype(float), ev.seed)
+        at = cols.index(col)
+
+        @F.pandas_udf("double")
+        def value(*cells: pd.Series) -> pd.Series:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cells])
+            return pd.Series(net(np.nan_to_num((x - mean) / sd), (~np.isnan(x)).astype(float))[:, at] * sd[at] + mean[at])
+
+        return _with(clean(df, [col]), col, value(*[F.col(c).cast("double") for c in cols]))
+
+    return fill
 
 
 METHODS: dict[str, Callable] = {
     "mean": mean, "median": median, "mode": mode, "grouped_median": grouped_median, "knn": knn, "regression": regression,
     "stochastic_regression": stochastic_regression, "pmm": pmm, "hotdeck": hotdeck, "mice": mice, "missforest": missforest, "em": em,
-    "softimpute": softimpute, "gain": unavailable, "mida": unavailable, "hivae": unavailable,
+    "softimpute": softimpute, "gain": deep(nets.fit_gain), "mida": deep(nets.fit_mida), "hivae": deep(nets.fit_hivae),
 }
 
 
@@ -444,6 +472,18 @@ def _rows(col: str, method: str, ev: Evidence = PART):
     return run
 
 
+def _deep(method: str):
+    """Every cell of y_mcar that was missing; y_true is not among the columns the network sees."""
+
+    def run(d: DataFrame) -> DataFrame:
+        part = d.select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_tax", "y_mcar")
+        marked = part.withColumn("gone", F.col("y_mcar").isNull())
+        out, used = apply(marked, "y_mcar", method, Evidence("l_orderkey"))
+        return out.where("gone").select("l_orderkey", "l_linenumber", F.col("y_mcar").alias("y"), F.lit(used).alias("used"))
+
+    return run
+
+
 QUERIES = {
     "missing_summary": over("fx_missing", missing_summary),
     "mar_numeric": over("fx_missing", lambda d: mar_numeric(d, "y_mar_num", ["l_quantity", "l_tax", "l_partkey", "y_true", "y_mcar"])),
@@ -457,7 +497,8 @@ QUERIES = {
     "impute_regression": over("fx_missing", _sums("y_mar_num", "regression")),
     "impute_em": over("fx_missing", _sums("y_mar_num", "em")),
     "impute_drop_rows": over("fx_missing", _sums("y_mar_cat", "drop_rows")),
-    "impute_gain_fallback": over("fx_missing", _sums("y_mcar", "gain")),
+    **{f"impute_{m}": over("fx_missing", _deep(m)) for m in ("gain", "mida", "hivae")},
+    "impute_fallback": over("fx_missing", _sums("y_mcar", "no_such_method")),
     "impute_stochastic_regression": over("fx_missing", lambda d: apply(d, "y_mar_num", "stochastic_regression", LINE)[0].agg(F.count("y_mar_num").alias("n"))),
     "impute_knn": over("fx_part", _rows("price", "knn")),
     "impute_knn_categorical": over("fx_part", _rows("brand", "knn_categorical")),
@@ -500,7 +541,7 @@ ORACLE = {
     "indicator_correlation": _M + " " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr(({a} is null)::int, ({b} is null)::int), 4) as r from fx_missing" for i, a in enumerate(["y_mcar", "y_mar_num", "y_mar_cat", "y_sparse", "flag_missing"]) for b in ["y_mcar", "y_mar_num", "y_mar_cat", "y_sparse", "flag_missing"][i + 1 :]),
     "impute_mean": _imp("coalesce(y_mcar, (select avg(y_mcar) from fx_missing))", "mean"),
     "impute_median": _imp("coalesce(y_mcar, (select median(y_mcar) from fx_missing))", "median"),
-    "impute_gain_fallback": _imp("coalesce(y_mcar, (select median(y_mcar) from fx_missing))", "fallback_median"),
+    "impute_fallback": _imp("coalesce(y_mcar, (select median(y_mcar) from fx_missing))", "fallback_median"),
     "impute_mode": f"{_M}, m as (select flag_missing as m from fx_missing where flag_missing is not null group by 1 order by count(*) desc, 1 limit 1) select l_returnflag, count(coalesce(flag_missing, m))::bigint as n, count(*) filter (where coalesce(flag_missing, m) = 'A')::double as total, 'mode' as used from fx_missing, m group by 1",
     "impute_grouped_median": f"{_M} select l_returnflag, count(*)::bigint as n, round(sum(coalesce(y_mcar, md)), 2) as total, 'grouped_median' as used from (select *, median(y_mcar) over (partition by l_returnflag) as md from fx_missing) group by 1",
     "impute_regression": _line_sql("regression"),
