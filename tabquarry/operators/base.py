@@ -153,13 +153,17 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     return met.select(*df.columns, *[(F.col(c) + F.col(f"{c}o")).alias(name) for name, c in zip(sums, named, strict=True)])
 
 
-def average_rank(df: DataFrame, col: str, into: str, by: list[str] | None = None) -> DataFrame:
-    """Mean rank of ties, from counts of distinct values; null stays null."""
+def rank_table(df: DataFrame, col: str, into: str, by: list[str] | None = None) -> DataFrame:
+    """Mean rank of each different value, from counts; nulls have none."""
     by = by or []
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
     ranked = running(counts, by, [col], {"__upto": F.col("__n")})
-    ranked = ranked.select(*by, col, (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(into))
-    return df.join(ranked, [*by, col], "left")
+    return ranked.select(*by, col, (F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)).alias(into))
+
+
+def average_rank(df: DataFrame, col: str, into: str, by: list[str] | None = None) -> DataFrame:
+    """Mean rank of ties, from counts of distinct values; null stays null."""
+    return df.join(rank_table(df, col, into, by), [*(by or []), col], "left")
 
 
 # corrected skewness and kurtosis, as estimators of the population's; null where they are not defined

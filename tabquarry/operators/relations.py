@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import specfun
-from .base import average_rank, clean, duck, long_form, numeric_columns, over, ratio, string_columns
+from .base import clean, duck, long_form, numeric_columns, over, rank_table, ratio, string_columns
 from .profile import TARGET_NAMES, column_profile
 
 LEAK_WORDS = ("future", "next", "predicted", "forecast")
@@ -42,16 +42,29 @@ def pearson(df: DataFrame, cols: list[str], chunk: int = 400) -> DataFrame:
 def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson on average ranks of the rows complete in both."""
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a), F.col(b))
-    ranks = average_rank(average_rank(rows, a, "__ra"), b, "__rb")
+    ranks = rows.join(rank_table(rows, a, "__ra"), a).join(rank_table(rows, b, "__rb"), b)  # each table from the rows, not from the join before
     return ranks.agg(_r("__ra", "__rb").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(a, b, rho) of all pairs. Columns without nulls are ranked once each, and one aggregation has all their pairs; a pair with
+    a column that has nulls is ranked on its own complete rows."""
+    d = clean(df, cols).select(*cols)
+    holes = d.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    whole = [c for c in cols if not holes[c]]
     out = None
+    if len(whole) > 1:
+        ranks = d.select(*whole)
+        for i, c in enumerate(whole):
+            ranks = ranks.join(rank_table(d, c, f"__r{i}"), c)
+        names = F.array(*[F.lit(c) for c in whole])
+        at = lambda c: F.element_at(names, F.substring(c, 4, 9).cast("int") + 1)
+        out = pearson(ranks.select(*[f"__r{i}" for i in range(len(whole))]), [f"__r{i}" for i in range(len(whole))]).select(at("a").alias("a"), at("b").alias("b"), F.col("r").alias("rho"))
     for i, a in enumerate(cols):
         for b in cols[i + 1 :]:
-            one = spearman_pair(df, a, b)
-            out = one if out is None else out.unionByName(one)
+            if a not in whole or b not in whole:
+                one = spearman_pair(d, a, b)
+                out = one if out is None else out.unionByName(one)
     return out.where("rho is not null")
 
 

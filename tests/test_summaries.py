@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tabquarry.operators import base, impute, summaries
+from tabquarry.operators import base, impute, relations, summaries
 
 DIR = "/root/testdata/sf0.001"
 CHECKED = ("memory_breakdown", "memory_total", "findings", "numeric_strength", "box_data", "box_data_by", "top_categories", "colour_column", "loadings", "missing_matrix", "transform_panels", "total_distortion", "stability_ranking")
@@ -100,3 +100,17 @@ def test_deep_imputers_without_a_second_column(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None)], "k long, y double")
     out, used = impute.apply(df, "y", "mida", impute.Evidence("k"))
     assert used == "fallback_median" and out.where("y is null").count() == 0
+
+
+def test_spearman_with_and_without_nulls(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({"a": rng.integers(0, 9, 200), "b": rng.integers(0, 9, 200) * 1.5, "c": rng.normal(size=200)})
+    data.loc[::7, "c"] = np.nan
+    data["d"] = data["a"] * 2 - data["b"]
+    got = {(r["a"], r["b"]): r["rho"] for r in relations.spearman(spark.createDataFrame(data), ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 6
+    for (a, b), rho in got.items():
+        both = data[[a, b]].dropna().rank()  # average ranks of the rows complete in both
+        assert abs(rho - np.corrcoef(both[a], both[b])[0, 1]) < 1e-9
