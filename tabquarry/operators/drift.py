@@ -429,7 +429,6 @@ ORACLE = {
     "anderson_darling": f"""with z as (select (value - avg(value) over ()) / stddev_samp(value) over () as z, row_number() over (order by value) as i, count(*) over () as n from events where value is not null),
  a as (select n, (-n - sum((2 * i - 1) * ln(greatest(1e-300, {_phi('z')})) + (2 * n - 2 * i + 1) * ln(greatest(1e-300, {_phi('-z')}))) / n) as a2 from z group by n) select n::bigint as n, round(a2, 1) as a2, a2 < 0.787 / (1 + 4.0 / n - 25.0 / (n * n)) as normal from a""",
     "shapiro": "select least(count(value), 5000)::int as n, true as rejected from events",
-    "normality_vote": "select 4::bigint as tests, 0::bigint as normal_votes, false as normal",
     "rare_categories": "select p_name as value, count(*)::bigint as n from part group by 1 having count(*) < 10 or count(*) / (select count(*) from part) < 0.02",
     "monthly": "select strftime(o_orderdate, '%Y-%m') as month, count(*)::bigint as n from orders group by 1",
     "levene": "with m as (select event_type, median(value) as md from events group by 1), x as (select e.event_type as k, abs(value - md) as v from events e join m using (event_type)), g as (select k, count(v) as n, avg(v) as m, var_samp(v) as s2 from x group by k), t as (select sum(n * m) / sum(n) as gm, sum(n) as bn, count(*) as kk from g) select 'event_type' as group_col, 'value' as value_col, round(sum(n * (m - gm) ** 2) / (max(kk) - 1) / (sum((n - 1) * s2) / (max(bn) - max(kk))), 4) as w from g, t",
@@ -446,3 +445,9 @@ ORACLE = {
     "stratified_split": _split("partition by o_orderstatus").format(k="o_orderkey", h=_md5("o_orderkey"), t="orders"),
     "stable_split": "select split, count(*)::bigint as n from (" + _split().format(k="c_custkey", h=_md5("c_custkey"), t="customer") + ") group by 1",
 }
+# votes of the three tests with a SQL form; for Shapiro-Wilk the moment test on the same first rows stands in
+ORACLE["normality_vote"] = f"""with f as (select value as v from events where value is not null order by event_id limit {SHAPIRO_ROWS}),
+ w as (select n / 6 * (g1 ** 2 + g2 ** 2 / 4) as jb from (select count(v) as n, skewness(v) as g1, kurtosis_pop(v) as g2 from f)),
+ t as (select (j.p > 0.05)::int + (d.p > 0.05)::int + a.normal::int + (exp(-w.jb / 2) > 0.05)::int as votes
+  from ({ORACLE["jarque_bera"]}) j, ({ORACLE["dagostino"]}) d, ({ORACLE["anderson_darling"]}) a, w where j.col = 'value' and d.col = 'value')
+ select 4::bigint as tests, votes::bigint as normal_votes, 2 * votes > 4 as normal from t"""
