@@ -79,12 +79,12 @@ def test_quartile_bins_with_ties(spark):
 
 def test_imputation_leaves_observed_cells(spark):
     df = spark.createDataFrame([(i, float(i), None if i % 4 == 0 else 2.0 * i + 1) for i in range(60)], "k long, x double, y double")
-    for m in ("mean", "median", "regression", "pmm", "knn", "hotdeck", "em", "mice", "softimpute"):
+    for m in ("mean", "median", "regression", "pmm", "knn", "hotdeck", "em", "mice", "softimpute", "gain", "mida", "hivae"):
         out = impute.apply(df, "y", m, impute.Evidence("k", ["x"]))[0].toPandas().sort_values("k")
         assert out["y"].notna().all(), m
         seen = out[out["k"] % 4 != 0]
         assert (seen["y"] == 2 * seen["x"] + 1).all(), m
-    assert impute.apply(df, "y", "gain", impute.Evidence("k"))[1] == "fallback_median"
+    assert impute.apply(df, "y", "no_such_method", impute.Evidence("k"))[1] == "fallback_median"
 
 
 def test_information_of_skewed_columns_and_numeric_targets(spark):
