@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -322,9 +323,22 @@ def choose_strategy(rows: int, temporal: str | None, target: str | None) -> tupl
     return ("chronological" if temporal else "stratified" if target else "random"), small
 
 
+def _exact(ratio: float) -> Fraction:
+    """The short fraction that the float stands for, as floats put 0.7 of 90,000 below 63,000."""
+    short = Fraction(ratio).limit_denominator(1_000_000)
+    return short if float(short) == ratio else Fraction(ratio)
+
+
+def _share(n: Column, part: Fraction) -> Column:
+    """floor(n * part) in whole numbers."""
+    part = part.limit_denominator(10**15)
+    top, bottom = (F.lit(x).cast("decimal(18,0)") for x in (part.numerator, part.denominator))
+    return F.call_function("div", n.cast("decimal(20,0)") * top, bottom)
+
+
 def chronological_split(df: DataFrame, order: list[str], ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     n = df.count()
-    a, b = int(n * ratios[0]), int(n * (ratios[0] + ratios[1]))
+    a, b = int(n * _exact(ratios[0])), int(n * (_exact(ratios[0]) + _exact(ratios[1])))
     at = running(df, [], order, {"__i": F.lit(1)})
     return at.withColumn("split", F.when(F.col("__i") <= a, "train").when(F.col("__i") <= b, "val").otherwise("test")).drop("__i")
 
@@ -340,7 +354,7 @@ def random_split(df: DataFrame, key: str, ratios: tuple[float, float, float] = (
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     at = running(df.withColumn("__h", hash_order(key, seed)), by, ["__h", key], {"__i": F.lit(1)})
     met = at.join(n, by) if by else at.crossJoin(F.broadcast(n))  # one row
-    a, b = F.floor(F.col("__n") * ratios[0]), F.floor(F.col("__n") * (ratios[0] + ratios[1]))
+    a, b = _share(F.col("__n"), _exact(ratios[0])), _share(F.col("__n"), _exact(ratios[0]) + _exact(ratios[1]))
     return met.withColumn("split", F.when(F.col("__i") <= a, "train").when(F.col("__i") <= b, "val").otherwise("test")).drop("__i", "__n", "__h")
 
 

@@ -168,6 +168,17 @@ def test_row_agreement_against_brute_force(spark):
     assert lof[n - 2] and not iqr[n - 2] and count[n - 2] >= 1  # only multivariate methods see this row
 
 
+@pytest.mark.parametrize("n", [90, 180, 1000])
+def test_split_sizes_are_exact(spark, n):
+    """As floats 0.7 of 90 is below 63."""
+    df = spark.range(n).withColumnRenamed("id", "k")
+    want = {"train": n * 70 // 100, "val": n * 85 // 100 - n * 70 // 100, "test": n - n * 85 // 100}
+    for split in (drift.random_split(df, "k"), drift.chronological_split(df, ["k"])):
+        assert {r["split"]: r["count"] for r in split.groupBy("split").count().collect()} == want
+    third = {r["split"]: r["count"] for r in drift.random_split(df, "k", drift.parse_ratios("1/1/1")).groupBy("split").count().collect()}
+    assert third["train"] == n // 3 and third["val"] == 2 * n // 3 - n // 3
+
+
 def test_best_fit_of_five_families(spark):
     rng = np.random.default_rng(6)
     n = 1500
