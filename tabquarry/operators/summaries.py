@@ -17,7 +17,7 @@ from .drift import psi as stability_index
 from .impute import marginal_distortion, missing_summary, regression_distortion
 from .profile import ORACLE as PROFILE_SQL
 from .profile import WIDTHS, classify, downcast_advice, sentinels, size_estimate
-from .relations import numeric_pairs, top_pairs
+from .relations import numeric_pairs, pearson
 
 GRADES = ("pass", "marginal", "fail")
 
@@ -201,7 +201,7 @@ def loadings(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def pairplot_features(df: DataFrame, cols: list[str], k: int = 6) -> DataFrame:
     """Up to k columns: those of the strongest pairs in their order, then the others."""
-    strongest = top_pairs(df, cols).collect()  # at most ten rows
+    strongest = pearson(df, cols).orderBy(F.abs("r").desc(), "a", "b").limit(10).collect()  # by r itself, as rounded ones tie
     seen = list(dict.fromkeys([*[c for r in strongest for c in (r["a"], r["b"])], *cols]))[:k]
     return df.sparkSession.createDataFrame(list(enumerate(seen, 1)), "place int, col string")
 

@@ -72,6 +72,13 @@ def test_summaries_of_empty_tables(spark):
     assert summaries.memory_total(empty).first()["bytes"] == 0
 
 
+def test_pairplot_features_of_nearly_equal_pairs(spark):
+    """The stronger of two pairs that both round to 1."""
+    rows = [(float(i), i + 1e-3 * (i % 2), float((i * 37) % 101), 2.0 * ((i * 37) % 101)) for i in range(101)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    assert [r["col"] for r in summaries.pairplot_features(df, ["a", "b", "c", "d"]).orderBy("place").collect()] == ["c", "d", "a", "b"]
+
+
 def test_traffic_light_takes_the_worst(spark):
     rows = [(i, i % 2, float((i * 37) % 101) * (10.0 if i % 2 else 1.0), float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "k long, g long, x double, t double")
