@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import base
 from .common import WORD, discard, fresh, partitions, stored, table
 from .shingles import mix, shingle_set
 from .vectors import apart
@@ -115,22 +116,8 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each end of an edge (a, b) reaches. Hash-min with pointer jumping."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
-    last = labels
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels["id"] == near["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        of = apart(labels).select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        jumped = low.join(of, "comp", "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
-        moved = stored(jumped)
-        discard(last)
-        last, labels = moved, moved.select("id", "comp")
-        if not moved.where("comp <> old").limit(1).count():
-            discard(both)
-            labels._stored_at = moved._stored_at
-            return labels
+    """(id, comp): the smallest id that each end of an edge (a, b) reaches."""
+    return base.components(edges, stored, discard)
 
 
 def in_regions(classes: DataFrame) -> DataFrame:
@@ -350,8 +337,10 @@ def link(docs: DataFrame) -> DataFrame:
     if left.limit(1).count():
         more = confirmed(left, docs, classes)
         if more.limit(1).count():
+            # what is known already is a star around each component's least class
+            whole = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
             discard(labels)
-            labels = components(links.unionByName(more))
+            labels = whole
         discard(more)
     for done in (members, likely, links, left):
         discard(done)

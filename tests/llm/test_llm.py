@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabquarry.llm import chat, mixing, neardup, neighbours, packing, pii, quality, registry, sharding, substrings, suffixes, topk
+from tabquarry.operators import base
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DIR = "/root/testdata/sf0.001"
@@ -284,6 +285,23 @@ def test_odd_sketches_never_rule_out_a_link():
             assert neardup.may_link(far, len(x), len(y)) or 100 * both < 75 * (len(x) + len(y) - both)
 
 
+def test_components_contract_their_edges(spark):
+    """A dense group's links are joined once; later rounds have only links between roots."""
+    dense = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    line = [(1000 + i, 1001 + i) for i in range(200)]
+    written = []
+
+    def keep(df):
+        out = neardup.stored(df)
+        if out.columns == ["a", "b"]:
+            written.append(out.count())
+        return out
+
+    got = {r["id"]: r["comp"] for r in base.components(spark.createDataFrame(dense + line + [(5, 5)], "a long, b long"), keep).collect()}
+    assert got == dict.fromkeys(range(60), 0) | dict.fromkeys(range(1000, 1201), 1000)
+    assert written[0] == len(dense) + len(line) and sum(written[1:]) < 10
+
+
 def test_neardup_odd_rows(spark, awkward):
     """Null and repeated ids, repeated rows and a clashing column."""
     clash = awkward.unionByName(awkward).withColumn("CID", F.lit(1)).withColumn("__dk", F.lit("x"))
