@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabquarry.llm import mixing, neardup, packing, pii, quality
-from tabquarry.llm.common import fresh, shared_folder, table
+from tabquarry.llm.common import files_for, fresh, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, so rows repeat. Documents without words weigh nothing and are taken by the
     same rule."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs).coalesce(files_for(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import base
-from .common import WORD, discard, fresh, partitions, stored, table
+from .common import FILE_BYTES, WORD, discard, files_for, fresh, partitions, size_of, stored, table
 from .shingles import mix, shingle_set
 from .vectors import apart
 
@@ -115,9 +115,11 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, n long, cid long, sig binary, odd binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id that each end of an edge (a, b) reaches."""
-    return base.components(edges, stored, discard)
+def components(edges: DataFrame, size: int) -> DataFrame:
+    """(id, comp): the smallest id that each end of an edge (a, b) reaches. size: bytes of the edges, about; all tables on the
+    way are a few times as large at most."""
+    files = max(1, -(-4 * size // FILE_BYTES))
+    return base.components(edges, lambda df: stored(df, files), discard)
 
 
 def in_regions(classes: DataFrame) -> DataFrame:
@@ -222,10 +224,10 @@ def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFra
     return met.mapInArrow(run, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, files: int) -> DataFrame:
     """The pairs that reach the threshold on their full sets."""
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    sets = stored(full_sets(docs, classes, ends))
+    sets = stored(full_sets(docs, classes, ends), files)
     of = lambda x: apart(sets).select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +239,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 keep.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"))
+    out = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long"), files)
     discard(sets)
     return out
 
@@ -321,24 +323,26 @@ def across_components(members: DataFrame, classes: DataFrame, labels: DataFrame)
     return laid.mapInArrow(run, "a long, b long").distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, n_shingles, component (a class name; null for empty sets), component_id, kept."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """What ``link`` gives, and how many files a table of its size shall have at most."""
     rows = stored(measured(docs))
+    files = files_for(rows)
     classes = stored(
         rows.where("cid is not null").groupBy("cid")
-        .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id")).alias("rep"))
+        .agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("odd").alias("odd"), F.min("doc_id").alias("least"), F.min(F.struct("th", "doc_id")).alias("rep")),
+        files,
     )
-    members = stored(in_regions(classes))
-    likely = stored(allowed(candidates(sorted_orders(members, classes)), classes))
-    links = confirmed(likely, docs, classes)
-    labels = components(links)
+    members = stored(in_regions(classes), files)
+    likely = stored(allowed(candidates(sorted_orders(members, classes)), classes), files)
+    links = confirmed(likely, docs, classes, files)
+    labels = components(links, size_of(links))
     tried = apart(likely)
-    left = stored(across_components(members, classes, labels).join(tried, ["a", "b"], "left_anti"))
+    left = stored(across_components(members, classes, labels).join(tried, ["a", "b"], "left_anti"), files)
     if left.limit(1).count():
-        more = confirmed(left, docs, classes)
+        more = confirmed(left, docs, classes, files)
         if more.limit(1).count():
             # what is known already is a star around each component's least class
-            whole = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more))
+            whole = components(labels.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), size_of(labels) + size_of(more))
             discard(labels)
             labels = whole
         discard(more)
@@ -346,26 +350,33 @@ def link(docs: DataFrame) -> DataFrame:
         discard(done)
     named = apart(classes).select("cid", "least").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("comp", "cid"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = stored(named.select("cid", "component").join(least, "component"))
+    of_class = stored(named.select("cid", "component").join(least, "component"), files)
     for done in (classes, labels):
         discard(done)
     out = rows.select("doc_id", "th", "n", "cid").join(of_class, "cid", "left")
     own = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")), files
+
+
+def link(docs: DataFrame) -> DataFrame:
+    """doc_id, text hash, n_shingles, component (a class name; null for empty sets), component_id, kept."""
+    out, files = _linked(docs)
+    return out.coalesce(files)
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id; rows without words all stay."""
     dk = fresh(docs, "__dk")
     marked = docs.withColumn(dk, F.xxhash64("doc_id", "text"))
-    linked = link(docs).where("component is not null")
+    out, files = _linked(docs)
+    linked = out.where("component is not null")
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r"))
     # the key of a row from its id and text is not in ``link``, but (id, hash of the text) names the same rows
     chosen = first.select(F.col("r.doc_id").alias("__i"), F.col("r.th").alias("__t"))
     words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     named = marked.where(words).withColumns({"__i": F.col("doc_id").cast("long"), "__t": F.xxhash64("text")})
     met = named.join(chosen, (named["__t"] == chosen["__t"]) & named["__i"].eqNullSafe(chosen["__i"]), "left_semi").drop("__i", "__t")
-    return met.dropDuplicates([dk]).unionByName(marked.where(~words)).drop(dk)
+    return met.dropDuplicates([dk]).unionByName(marked.where(~words)).drop(dk).coalesce(max(files, files_for(docs)))
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

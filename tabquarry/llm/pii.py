@@ -33,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, files_for, fresh, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 5
 MIN_SUPPORT, DISCLOSE, REMOVE, MIN_BITS = 3, 0.5, 0.9, 6.0
 BROADCAST_TERMS, TERM_CHARS = 100_000, 64
+#: Bytes of texts for each file of the tables of entities and terms, which are far smaller.
+TEXT_BYTES = 16 << 20
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -200,7 +202,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     texts = docs.select("text", F.xxhash64("text").alias("th")).where(F.length("text") > 0)
     n = texts.select("th").distinct().count()
     seen = texts.mapInArrow(run, "entity long, term string, th long").distinct()
-    pairs = cut(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where((F.col("n_te") >= MIN_SUPPORT)))
+    pairs = cut(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where((F.col("n_te") >= MIN_SUPPORT)).coalesce(files_for(docs, TEXT_BYTES)))
     # p(e | t) is at most 1, so an entity in more texts than this reaches MIN_BITS with no term
     n_e = pairs.where("term = ''").select("entity", F.col("n_te").alias("n_e")).where(F.log2(n / F.col("n_e")) >= MIN_BITS)
     near = pairs.where("term != ''").join(n_e, "entity")
@@ -214,7 +216,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
 def _with_terms(docs: DataFrame, terms: DataFrame, name: str):
     """(docs with a column of the row's own terms or null, the broadcast terms or None)."""
-    terms = cut(terms)
+    terms = cut(terms.coalesce(files_for(docs, TEXT_BYTES)))
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["disclosure"] for r in terms.collect()})
         return docs.withColumn(name, F.lit(None).cast("map<string,double>")), held

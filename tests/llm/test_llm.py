@@ -573,5 +573,42 @@ def test_pipeline_stages_on_awkward_tables(spark, awkward, tmp_path):
         assert spark.read.parquet(path).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_pipeline_writes_few_files_for_few_bytes(spark, monkeypatch, tmp_path):
+    """Many partitions of a small table share files: each file that an executor writes can start processes of its own."""
+    import corpus_pipeline as cp
+
+    rng, words = random.Random(3), [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, k=40)) + f" me{i % 9}@example.org" for i in range(150)]
+    texts += [t + " more" for t in texts[::2]] + texts[::3]
+    docs_of(spark, texts).repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs, most, seen = spark.read.parquet(str(tmp_path / "docs")), 2 * spark.sparkContext.defaultParallelism, []
+    discard, cut = neardup.discard, pii.cut
+
+    def counted(df):
+        seen.append(len(df.inputFiles()))
+        discard(df)
+
+    def held(df):
+        out = cut(df)
+        seen.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(neardup, "discard", counted)
+    monkeypatch.setattr(pii, "cut", held)
+    confs = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        for stage in (cp.drop_near_duplicates, cp.hide_personal_data, cp.mix_sources):
+            stage(spark, docs, str(tmp_path)).write.parquet(path := str(tmp_path / stage.__name__))
+            docs = spark.read.parquet(path)
+            seen.append(len(docs.inputFiles()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(seen) > 15 and max(seen) <= most, seen
+
+
 def test_registry():
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for k in range(1, 11) for n in registry.QUERIES if n.startswith(f"op{k}_")]
