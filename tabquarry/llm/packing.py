@@ -58,7 +58,8 @@ class WordTokenizer:
 
     It holds for tokenizers whose tokens never cross white space and which drop it, as this one. A word that is letters
     of Latin-1, then marks, is looked up as two parts, the letters in lower case, by the byte-pair model alone; all
-    other words go through the whole tokenizer. The memories are emptied when they have grown to ``CACHE_WORDS``.
+    other words go through the whole tokenizer. Parts are words as well, so one memory holds both. It is emptied when it has
+    grown to ``CACHE_WORDS``.
     """
 
     def __init__(self, path: str):
@@ -68,7 +69,6 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = {ord(chr(b)): c for b, c in _byte_letters().items()}
         self.known: dict[str, bytes] = {}
-        self.bodies: dict[str, bytes] = {"": b""}
 
     def _whole(self, word: str) -> bytes:
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -82,18 +82,19 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        if len(self.bodies) > CACHE_WORDS:
-            self.bodies = {"": b""}
-        known, bodies = self.known, self.bodies
+        known = self.known
         for w in words:
             body = w.rstrip(_MARKS)
             if body.isalpha() and (body.isascii() or max(body) <= "\xff"):
                 low, tail = body.lower(), w[len(body) :]
-                if low not in bodies:
-                    bodies[low] = self._body(low)
-                if tail not in bodies:
-                    bodies[tail] = self._whole(tail)
-                known[w] = bodies[low] + bodies[tail]
+                if low == w:
+                    low = w  # one string for both
+                if low not in known:
+                    known[low] = self._body(low)
+                if tail and tail not in known:
+                    known[tail] = self._whole(tail)
+                if w not in known:
+                    known[w] = known[low] + known[tail] if tail else known[low]
             else:
                 known[w] = self._whole(w)
 

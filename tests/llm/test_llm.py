@@ -472,6 +472,17 @@ def test_packing_long_and_repeated_rows(spark, monkeypatch):
     assert out["sequence_id"].floordiv(1 << 32).value_counts().max() < 64
 
 
+def test_words_are_remembered_once():
+    """Parts of words and words share one memory, as workers keep it between stages; ids are the tokenizer's."""
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    text = "tree Tree TREE tree, tree. , ... Ölbaum ölbaum! ÿ x1 İ a.b !? house house? House"
+    got = words.encode([text, "", "tree!"])
+    for ids, t in zip(got, [text, "", "tree!"], strict=True):
+        assert ids.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+    held = [m for m in vars(words).values() if isinstance(m, dict) and any(isinstance(k, str) for k in m)]
+    assert sum("house" in m for m in held) == 1 and sum(map(len, held)) <= len(set(text.split())) + 7
+
+
 def test_first_fit_decreasing():
     rng = random.Random(4)
     lengths = [rng.randint(1, 100) for _ in range(300)]
